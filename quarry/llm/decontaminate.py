@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import small_batches, texts_of
 
-#: A word is a run of ASCII letters, digits or non-ASCII characters; A-Z are lower-cased.
+#: A word is a run of ASCII letters, digits or non-ASCII characters, in lower case.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words that are worked on at once.
 STREAM = 16_384
@@ -33,7 +33,7 @@ class WordHashes(dict):
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return WORD.findall(text.lower())
+    return WORD.findall(text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode())
 
 
 def grid_size(n: int, step: int) -> int:

@@ -98,17 +98,19 @@ def redact(docs: DataFrame, mark: str = "[secret]", reach: int = 200) -> DataFra
     Rows meet their spans by doc_id and a hash of the text, so equal rows fare alike; texts without spans stay as they are.
     """
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    named = docs.withColumn("_key", key)
-    found = parts(named.select(F.col("_key").alias("row"), "text"), ["row"]).df
-    spans = linked(found, ["row"], reach).distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
+    taken = max(map(len, docs.columns)) * "_"  # no column of docs starts with so many
+    named = docs.withColumn(f"{taken}_key", key)
+    found = parts(named.select(F.col(f"{taken}_key").alias("row"), "text"), ["row"]).df
+    spans = linked(found, ["row"], reach).distinct().groupBy(F.col("row").alias(f"{taken}_row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(f"{taken}_spans"))
+    at = F.col(f"{taken}_spans")
     text, n = F.col("text"), F.length("text")
     step = lambda acc, s: F.struct(
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
         F.greatest(acc["at"], s["stop"]).alias("at"),
     )
     ends = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), n))
-    masked = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, ends)
-    out = named.join(spans, named["_key"] == spans["row"], "left").withColumn("text", F.when(F.col("_spans").isNotNull(), masked).otherwise(text))
+    masked = F.aggregate(at, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, ends)
+    out = named.join(spans, F.col(f"{taken}_key") == F.col(f"{taken}_row"), "left").withColumn("text", F.when(at.isNotNull(), masked).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(at.isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
