@@ -42,16 +42,19 @@ def _sound(hit: Column, kind: str) -> Column:
     return F.length(F.regexp_extract(hit, KINDS[kind][0], 2)) >= MIN_VALUE if kind == "assign" else F.lit(True)
 
 
-def parts(docs: DataFrame, keys: list[str]) -> Table:
-    """keys, kind (its place in KINDS; -1 once for each row), start and stop (code points) of all candidate spans."""
+def parts(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, kind (its place in KINDS; -1 once for each row), start and stop (code points) of all candidate spans.
+
+    Texts are searched once: the matches are written to the shared folder, and the rest works on them.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("nth"), F.lit(0).alias("skip"), F.lit(0).alias("size"), F.lit(True).alias("sound")))
     every = F.concat(row, *(_hits(F.col("_text"), k) for k in KINDS))
-    hits = docs.select(*keys, text.alias("_text")).select(*keys, F.explode(every).alias("x")).select(*keys, "x.*")
+    hits = Table(docs.select(*keys, text.alias("_text")).select(*keys, F.explode(every).alias("x")).select(*keys, "x.*")).df
     before = W.partitionBy(keys[0], "kind").orderBy("nth")
     stop = F.sum(F.col("skip").cast("long") + F.col("size")).over(before)
     placed = hits.where("kind >= 0").select(*keys, "kind", (stop - F.col("size")).alias("start"), stop.alias("stop"), "sound").where("sound").drop("sound")
-    return Table(placed.union(hits.where("kind < 0").select(*keys, "kind", F.lit(0).cast("long"), F.lit(0).cast("long"))))
+    return placed.union(hits.where("kind < 0").select(*keys, "kind", F.lit(0).cast("long"), F.lit(0).cast("long")))
 
 
 def linked(found: DataFrame, keys: list[str], reach: int) -> DataFrame:
@@ -82,7 +85,7 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     columns are ignored. Texts are read whole; a text's spans are dealt by cells of CELL code points.
     """
     keys = ["row", "doc_id"]
-    found = parts(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), keys).df
+    found = parts(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), keys)
     spans = linked(found, keys, reach).union(found.where("kind < 0"))
     names = F.array(*map(F.lit, KINDS))
     listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["stop"])), ",")
@@ -100,7 +103,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", reach: int = 200) -> DataFra
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     taken = max(map(len, docs.columns)) * "_"  # no column of docs starts with so many
     named = docs.withColumn(f"{taken}_key", key)
-    found = parts(named.select(F.col(f"{taken}_key").alias("row"), "text"), ["row"]).df
+    found = parts(named.select(F.col(f"{taken}_key").alias("row"), "text"), ["row"])
     spans = linked(found, ["row"], reach).distinct().groupBy(F.col("row").alias(f"{taken}_row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(f"{taken}_spans"))
     at = F.col(f"{taken}_spans")
     text, n = F.col("text"), F.length("text")
