@@ -394,6 +394,16 @@ def test_attention_learns_and_is_causal():
     inputs, targets, _ = net.windows(seqs, 12)
     assert sorted(targets[targets >= 0].tolist()) == sorted(np.concatenate(seqs).tolist())
     z = net.forward(inputs[:1])
+    assert np.allclose(net.forward(inputs), net.forward(inputs, keep=True)[-1], atol=1e-4)
     changed = inputs[:1].copy()
     changed[0, -1] = 3
     assert np.allclose(z[0, :-1], net.forward(changed)[0, :-1])
+
+
+def test_words_are_parted_alike_together_and_alone():
+    subwords = lm_score.Subwords(open(lm_score.RANKS_PATH, "rb").read())
+    words = [w.encode() for w in [*EN, *FR, "_x", "a_b", "don't", "1,234.5", "😀é", "日本", "--", "x" * 50, "__"]]
+    alone = [subwords.encode([w])[0] for w in words]
+    assert subwords.encode(words) == alone
+    odd = [*words, "a\u00a0".encode(), "\u2003b".encode()]
+    assert subwords.encode(odd)[: len(words)] == alone and subwords.encode([]) == []
