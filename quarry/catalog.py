@@ -1,6 +1,8 @@
-"""Registered queries and their SQL."""
+"""All registered queries but those of the removable subpackage."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quarry.queries import aggregates, apportion, identity, joins, kernels, metrics, ranking, selection, state, streams  # noqa: F401
+from quarry.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
