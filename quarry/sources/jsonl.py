@@ -27,12 +27,9 @@ def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def read_torn(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Sound rows, and one row with the number of lines that are no JSON; none is dropped in silence."""
-    whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    broken = F.try_parse_json("value").isNull()
-    sound = rows.where(F.col("_corrupt").isNull()).select(*(f.name for f in schema.fields))
-    return sound, lines.agg(F.count_if(broken).alias("torn"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.try_parse_json("value").isNull().alias("_torn"))
+    sound = lines.where("not _torn").select(F.from_json("value", schema).alias("r")).select("r.*")
+    return sound, lines.agg(F.count_if("_torn").alias("torn"))
 
 
 def write(df: DataFrame, path: str) -> None:
