@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,8 +68,6 @@ def sidecar(files: DataFrame, text: str, *keep: str) -> DataFrame:
 
 def read_field(spark: SparkSession, glob: str, kind: str = "f4") -> DataFrame:
     """path and values of raw little-endian grids; NaN marks the inside."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("array<double>")
     def values(content: pd.Series) -> pd.Series:
