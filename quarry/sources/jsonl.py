@@ -73,4 +73,4 @@ def read_field(spark: SparkSession, glob: str, kind: str = "f4") -> DataFrame:
     def values(content: pd.Series) -> pd.Series:
         return content.map(lambda b: np.frombuffer(b, f"<{kind}").astype(float).tolist())
 
-    return spark.read.format("binaryFile").load(glob).select("path", values("content").alias("values"))
+    return spark.read.format("binaryFile").load(glob).select("path", F.transform(values("content"), lambda x: F.coalesce(x, F.lit(float("nan")))).alias("values"))  # Arrow hands NaN over as null
