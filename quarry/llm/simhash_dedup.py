@@ -254,12 +254,31 @@ def local_star(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
     return nodes[moved], nodes[root[moved]]
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, similarity: float | None = None, sketch: int = 128, sample: int = 8192, block_rows: int = 2048) -> DataFrame:
+def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose rows' shingle sets have a Jaccard similarity of `similarity` or more, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words).view(np.int64)) for t in texts_of(batch.column("text"))]
+            at = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)))], names=["doc_id", "set"])
+
+    pairs = pairs.distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(asked, F.col("doc_id") == F.col("_id"), "left_semi")
+    sets = Table(texts.mapInArrow(run, "doc_id long, set array<long>")).df
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+    both = pairs.join(one, "a").join(two, "b")
+    return both.where(F.size(F.array_intersect("sa", "sb")) >= similarity * F.size(F.array_union("sa", "sb"))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, similarity: float | None = None, sketch: int = 128, slack: float = 0.15, sample: int = 8192, block_rows: int = 2048) -> DataFrame:
     """doc_id, fp and component_id of each row of docs(doc_id, text).
 
     Fingerprints link at `radius` or fewer differing bits; component_id is the smallest doc_id reachable, itself
-    included. With `similarity`, a link also needs that Jaccard similarity of the two rows' shingles, from the
-    `sketch` smallest distinct hashes (exact for texts of no more shingles); then only links to nearest others are tried.
+    included. With `similarity`, a link also needs that Jaccard similarity of the two rows' shingle sets. The `sketch`
+    smallest distinct hashes of each decide exactly where they are all hashes, or where their estimate is off by more than
+    `slack` (four standard errors); the other pairs are decided on the whole sets. Then only links to nearest others are tried.
 
     A null text counts as empty; a text without words has fingerprint 0, linked like any other. Repeated rows and equal
     texts fall into one class before anything is compared. A row without doc_id stays, and does not lend its id; where
@@ -282,8 +301,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, similarity
         two = classes.df.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
         edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(one, "a").join(two, "b")
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch)
-        common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-        edges = edges.where((common >= similarity * F.size(union)) & (F.size(union) > 0)).select("a", "b")
+        known = (F.size("sa") < sketch) & (F.size("sb") < sketch)
+        common = F.when(known, F.size(F.array_intersect("sa", "sb"))).otherwise(F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))))
+        size = F.when(known, F.size(F.array_union("sa", "sb"))).otherwise(F.size(union))
+        edges = edges.where(size > 0).select("a", "b", known.alias("known"), (common / size).alias("estimate"))
+        tried = Table(edges.where(F.col("estimate") >= F.when(F.col("known"), similarity).otherwise(similarity - slack))).df
+        sure = F.col("known") | (F.col("estimate") > similarity + slack) | (F.greatest("a", "b") >= NO_ID)
+        edges = tried.where(sure & (F.col("estimate") >= similarity)).select("a", "b").union(similar(docs, tried.where(~sure).select("a", "b"), words, similarity))
     found = components(edges)
     named = classes.df.select("fp", "rep").join(found, classes.df["rep"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
     out = prints.df.select("doc_id", "fp").join(named, F.col("fp") == F.col("_fp"))
