@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Table, components, expanded, small_batches, sorted_chunks, texts_of
 
 BITS = 64
+#: So many pairs of ids (16 bytes each) at most are sent to each task.
+SENT_PAIRS = 500_000
 #: Surrogate ids of classes without any doc_id start here; real ids stay below.
 NO_ID = 0x7000_0000_0000_0000
 
@@ -190,7 +192,7 @@ def probes(classes: DataFrame, plan: Plan) -> DataFrame:
                     cut = slice(s, s + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(pairs[cut]), pa.array(fps[rows[cut]].view(np.int64)), pa.array(reps[rows[cut]])], schema=schema)
 
-    return classes.select("fp", "rep").mapInArrow(run, "key long, pair long, fp long, rep long").repartition("key", "pair").sortWithinPartitions("key", "pair")
+    return classes.select("fp", "rep").mapInArrow(run, "key long, pair long, fp long, rep long").repartition("key", "pair").sortWithinPartitions("key", "pair", "rep")
 
 
 def linked(sorted_probes: DataFrame, plan: Plan, nearest: int = 0) -> DataFrame:
@@ -263,12 +265,14 @@ def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
             at = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)))], names=["doc_id", "set"])
 
-    pairs = pairs.distinct()
+    pairs = Table(pairs.distinct()).df
+    few = pairs.count() <= SENT_PAIRS  # then pairs and their ids go to each task, and texts and sets need no shuffle; beyond, they meet by a shuffle
     asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    asked, named = (F.broadcast(asked), F.broadcast(pairs)) if few else (asked, pairs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(asked, F.col("doc_id") == F.col("_id"), "left_semi")
     sets = Table(texts.mapInArrow(run, "doc_id long, set array<long>")).df
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
+    both = one.join(named, "a").join(two, "b")
     return both.where(F.size(F.array_intersect("sa", "sb")) >= similarity * F.size(F.array_union("sa", "sb"))).select("a", "b")
 
 
