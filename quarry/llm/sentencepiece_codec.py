@@ -268,12 +268,25 @@ class Codec:
         return joined[1:] if joined[:1] == b" " else joined
 
 
+_IDS, _TEXT = T.ArrayType(T.IntegerType()), T.StringType()
+
+
 def encode(docs: DataFrame, codec: Codec) -> DataFrame:
     """docs with ids array<int>: the pieces of the whole text; null for a null text, empty for an empty one.
 
     Other columns pass through; a column named ids is replaced.
     """
-    return _with_column(docs, "text", "ids", T.ArrayType(T.IntegerType()), lambda column: _encoded(column, codec))
+    return _with_columns(docs, [("text", "ids", _IDS, lambda column: _encoded(column, codec))])
+
+
+def decode(docs: DataFrame, codec: Codec) -> DataFrame:
+    """docs with decoded: the text of ids; null for null ids. A marker character in a text comes back as a blank."""
+    return _with_columns(docs, [("ids", "decoded", _TEXT, lambda column: _decoded(column, codec))])
+
+
+def encode_and_decode(docs: DataFrame, codec: Codec) -> DataFrame:
+    """docs with ids and decoded, in one pass over the texts."""
+    return _with_columns(docs, [("text", "ids", _IDS, lambda column: _encoded(column, codec)), ("ids", "decoded", _TEXT, lambda column: _decoded(column, codec))])
 
 
 def _encoded(column: pa.Array, codec: Codec) -> pa.Array:
@@ -290,32 +303,32 @@ def _encoded(column: pa.Array, codec: Codec) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()), mask=column.is_null())
 
 
-def decode(docs: DataFrame, codec: Codec) -> DataFrame:
-    """docs with decoded: the text of ids; null for null ids. A marker character in a text comes back as a blank."""
-
-    def texts(column: pa.Array) -> pa.Array:
-        flat, at = column.values.to_numpy(), column.offsets.to_numpy()
-        return pa.array([None if null else codec.decode(flat[at[i] : at[i + 1]].tolist()).decode("utf-8", "replace") for i, null in enumerate(column.is_null().to_pylist())], pa.string())
-
-    return _with_column(docs, "ids", "decoded", T.StringType(), texts)
+def _decoded(column: pa.Array, codec: Codec) -> pa.Array:
+    flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return pa.array([None if null else codec.decode(flat[at[i] : at[i + 1]].tolist()).decode("utf-8", "replace") for i, null in enumerate(column.is_null().to_pylist())], pa.string())
 
 
-def _with_column(docs: DataFrame, source: str, target: str, kind: T.DataType, of) -> DataFrame:
+def _with_columns(docs: DataFrame, steps: list) -> DataFrame:
+    """docs with a column for each (source, target, type, function); later steps may read earlier targets."""
     small_batches(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if f.name != target]
+    targets = [target for _, target, _, _ in steps]
+    kept = [f for f in docs.schema.fields if f.name not in targets or f.name in {source for source, *_ in steps[:1]}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), of(batch.column(source))], names=[*(f.name for f in kept), target])
+            made = {f.name: batch.column(f.name) for f in kept}
+            for source, target, _, of in steps:
+                made[target] = of(made[source])
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
-    return docs.select(*[f.name for f in kept]).mapInArrow(run, T.StructType([*kept, T.StructField(target, kind)]))
+    return docs.select(*[f.name for f in kept]).mapInArrow(run, T.StructType([*kept, *(T.StructField(target, kind) for _, target, kind, _ in steps)]))
 
 
 def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, ids_hash and exact (decoding gives the text) of each row; nulls for a null text."""
     bytes_at = sorted({int(i) for i in codec.bytes_at})
     low, high = bytes_at[0], bytes_at[-1]
-    done = decode(encode(docs.select("doc_id", F.col("text").cast("string").alias("text")), codec), codec)
+    done = encode_and_decode(docs.select("doc_id", F.col("text").cast("string").alias("text")), codec)
     n_bytes = F.size(F.filter("ids", lambda i: (i >= low) & (i <= high)))
     return done.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"), F.when(F.col("ids").isNotNull(), n_bytes).cast("long").alias("n_byte_pieces"), F.when(F.col("ids").isNotNull(), F.xxhash64("ids")).alias("ids_hash"), (F.col("decoded") == F.col("text")).alias("exact"))
 
