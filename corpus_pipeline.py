@@ -46,7 +46,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the piece ids of each text, and whether decoding gives the text back."""
     codec = sentencepiece_codec.Codec.load()
-    out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, codec), codec)
+    out = sentencepiece_codec.encode_and_decode(docs, codec)
     return out.select("doc_id", "lang", "source", "ids", (F.col("decoded") == F.col("text")).alias("exact"))
 
 
