@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import Table, components, expanded, small_batches, sorted_chunks, texts_of
@@ -18,6 +19,8 @@ from quarry.llm.common import Table, components, expanded, small_batches, sorted
 BITS = 64
 #: So many pairs of ids (16 bytes each) at most are sent to each task.
 SENT_PAIRS = 500_000
+#: A task holds about so many pairs at once before it chooses among them.
+HELD_PAIRS = 2_000_000
 #: Surrogate ids of classes without any doc_id start here; real ids stay below.
 NO_ID = 0x7000_0000_0000_0000
 
@@ -43,27 +46,61 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.int64)[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, words: int, sketch: int = 0) -> DataFrame:
-    """doc_id, fp and, if sketch > 0, the `sketch` smallest distinct shingle hashes (signed order) of each row."""
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The distinct shingle hashes in signed order."""
+    return np.unique(shingle_hashes(text, k).view(np.int64))
+
+
+def set_id(distinct: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set; texts of equal sets share it."""
+    return int(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), 7)).view(np.int64))
+
+
+def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Hashes whose bits are independent of the given ones and of other turns'; turn 0 leaves them as they are."""
+    x = hashes.view(np.uint64)
+    if turn:
+        x = x + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(31))
+    return x
+
+
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    at = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+    return pa.ListArray.from_arrays(at, pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)))
+
+
+def bare(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and fp of each row, over its shingles with repeats."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [("sketch", pa.list_(pa.int64()))] * bool(sketch))
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, least = [], []
-            for text in texts_of(batch.column("text")):
-                hashes = shingle_hashes(text, words)
-                fps.append(fingerprint(hashes))
-                if sketch:
-                    least.append(np.unique(hashes.view(np.int64))[:sketch])
-            out = [batch.column("doc_id"), pa.array(fps, pa.int64())]
-            if sketch:
-                at = np.cumsum([0, *map(len, least)])
-                out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*least, np.zeros(0, np.int64)]).astype(np.int64))))
-            yield pa.RecordBatch.from_arrays(out, schema=schema)
-
-    kinds = "doc_id long, fp long" + ", sketch array<long>" * bool(sketch)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+            fps = [fingerprint(shingle_hashes(text, words)) for text in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], schema=schema)
+
+    return bare(docs).mapInArrow(run, "doc_id long, fp long")
+
+
+def set_fingerprints(docs: DataFrame, words: int, sketch: int, tables: int) -> DataFrame:
+    """doc_id, set_id, fps (one fingerprint for each table) and the `sketch` smallest hashes of each row's shingle set."""
+    small_batches(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("fps", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, words) for text in texts_of(batch.column("text"))]
+            fps = [np.array([fingerprint(remixed(x, turn)) for turn in range(tables)], np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(set_id, sets), pa.int64()), lists(fps), lists([x[:sketch] for x in sets])], schema=schema)
+
+    return bare(docs).mapInArrow(run, "doc_id long, set_id long, fps array<long>, sketch array<long>")
 
 
 @dataclass(frozen=True)
@@ -167,14 +204,14 @@ def make_plan(sample: np.ndarray, total: int, radius: int, block_rows: int = 204
 
 
 def probes(classes: DataFrame, plan: Plan) -> DataFrame:
-    """key, block pair, fp and rep of each probe. A key expected to be large is cut into blocks by fingerprint; its rows
+    """key, block pair, fp, rep and root of each probe. A key expected to be large is cut into blocks by rep; its rows
     go to each pair of blocks that holds theirs, so that no task gets the whole key."""
-    schema = pa.schema([("key", pa.int64()), ("pair", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("pair", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("root", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = np.array(sorted(plan.blocks), np.int64)
         for batch in batches:
-            fps, reps = batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
+            fps, reps, roots = batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy(), batch.column("root").to_numpy()
             for i, limit in enumerate(plan.limits):
                 if limit < 0:
                     continue
@@ -184,64 +221,70 @@ def probes(classes: DataFrame, plan: Plan) -> DataFrame:
                     at = np.flatnonzero(hot)
                     n = np.array([plan.blocks[k] for k in keys[at].tolist()])
                     item, other = expanded(n)
-                    own = ((fps[rows[at]] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)[item] % n[item]
+                    own = ((reps[rows[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)[item] % n[item]
                     rows = np.concatenate([rows[~hot], rows[at][item]])
                     pairs = np.concatenate([pairs[~hot], np.minimum(own, other) * 1_000_000 + np.maximum(own, other)])
                     keys = np.concatenate([keys[~hot], keys[at][item]])
                 for s in range(0, len(keys), 100_000):
                     cut = slice(s, s + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(pairs[cut]), pa.array(fps[rows[cut]].view(np.int64)), pa.array(reps[rows[cut]])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(pairs[cut]), pa.array(fps[rows[cut]].view(np.int64)), pa.array(reps[rows[cut]]), pa.array(roots[rows[cut]])], schema=schema)
 
-    return classes.select("fp", "rep").mapInArrow(run, "key long, pair long, fp long, rep long").repartition("key", "pair").sortWithinPartitions("key", "pair", "rep")
+    return classes.select("fp", "rep", "root").mapInArrow(run, "key long, pair long, fp long, rep long, root long").repartition("key", "pair").sortWithinPartitions("key", "pair", "rep")
 
 
-def linked(sorted_probes: DataFrame, plan: Plan, nearest: int = 0) -> DataFrame:
-    """Edges (a, b) between classes within the radius.
+def linked(sorted_probes: DataFrame, plan: Plan, nearest: int | None = None) -> DataFrame:
+    """Edges (a, b) between classes of different roots within the radius.
 
-    nearest = 0: of each run of equal keys, edges that connect what its links connect (not each link).
-    nearest = n: true links, for each class those to its n nearest others on either side of it in the run.
+    nearest = None: of each run of equal keys, edges that connect what its links connect (not each link).
+    nearest = n: true links, for each class those to its n nearest others on either side of it in the run. Both ends of
+    each link left out come as rows with a null b, so that another round can try them.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def chosen(rep: np.ndarray, a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+        if nearest is None:
+            a, b = local_star(len(rep), a, b)
+            return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], schema=schema)
+        take = np.zeros(len(a), bool)
+        for end in (a, b):
+            order = np.lexsort((dist, end))
+            first = np.r_[True, end[order][1:] != end[order][:-1]]
+            place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            take[order[place < nearest]] = True
+        more = np.unique(np.concatenate([rep[a[~take]], rep[b[~take]]]))
+        ends = np.concatenate([rep[b[take]], more])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[a[take]], more])), pa.array(ends, mask=np.arange(len(ends)) >= take.sum())], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_chunks(batches, ["key", "pair"]):
             key, pair = table.column("key").to_numpy(), table.column("pair").to_numpy()
-            fp, rep = table.column("fp").to_numpy().view(np.uint64), table.column("rep").to_numpy()
+            fp, rep, root = table.column("fp").to_numpy().view(np.uint64), table.column("rep").to_numpy(), table.column("root").to_numpy()
             part = key >> 48
             value = np.zeros(len(fp), np.uint64)
             for i in np.unique(part).tolist():
                 value[part == i] = plan.value(fp[part == i], i)
             masked = (key & ((1 << 48) - 1)).astype(np.uint64)
             masks = [np.uint64(sum(1 << b for b in p)) for p in plan.parts]
-            idx, d, found = np.arange(len(key)), 0, []
+            idx, d, found, held = np.arange(len(key)), 0, [], 0
             while len(idx):
                 d += 1
                 idx = idx[idx + d < len(key)]
                 idx = idx[(key[idx] == key[idx + d]) & (pair[idx] == pair[idx + d])]
                 diff = fp[idx] ^ fp[idx + d]
-                hit = np.flatnonzero(np.bitwise_count(diff) <= plan.radius)
+                hit = np.flatnonzero((np.bitwise_count(diff) <= plan.radius) & (root[idx] != root[idx + d]))
                 if len(hit):
                     x, diff = idx[hit], diff[hit]
-                    ok = ((value[x] & value[x + d]) == masked[x]) & (rep[x] != rep[x + d])
+                    ok = (value[x] & value[x + d]) == masked[x]
                     for i, limit in enumerate(plan.limits):  # only where it is the first partition that finds the pair
                         near = np.bitwise_count(diff & masks[i]).astype(np.int64)
                         ok &= np.where(part[x] == i, near <= limit, (near > limit) | (part[x] < i))
                     found.append(np.stack([x[ok], x[ok] + d, np.bitwise_count(diff[ok])], 1))
-            if not found:
-                continue
-            a, b, dist = np.concatenate(found).T
-            if nearest:
-                take = np.zeros(len(a), bool)
-                for end in (a, b):
-                    order = np.lexsort((dist, end))
-                    first = np.r_[True, end[order][1:] != end[order][:-1]]
-                    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-                    take[order[place < nearest]] = True
-                a, b = a[take], b[take]
-            else:
-                root = local_star(len(key), a, b)
-                a, b = root
-            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], schema=schema)
+                    held += int(ok.sum())
+                if held > HELD_PAIRS:
+                    yield chosen(rep, *np.concatenate(found).T)
+                    found, held = [], 0
+            if held:
+                yield chosen(rep, *np.concatenate(found).T)
 
     return sorted_probes.mapInArrow(run, "a long, b long")
 
@@ -257,65 +300,121 @@ def local_star(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose rows' shingle sets have a Jaccard similarity of `similarity` or more, exactly."""
+    """The pairs (a, b) of doc_ids, ka and kb being their set_ids, of a Jaccard similarity of `similarity` or more, exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, words).view(np.int64)) for t in texts_of(batch.column("text"))]
-            at = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]).astype(np.int64)))], names=["doc_id", "set"])
+            sets = [shingle_set(t, words) for t in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(set_id, sets), pa.int64()), lists(sets)], names=["doc_id", "set_id", "set"])
 
-    pairs = Table(pairs.distinct()).df
-    few = pairs.count() <= SENT_PAIRS  # then pairs and their ids go to each task, and texts and sets need no shuffle; beyond, they meet by a shuffle
+    written = Table(pairs)
+    pairs = written.df
+    if not (n := pairs.count()):
+        return pairs.select("a", "b")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    asked, named = (F.broadcast(asked), F.broadcast(pairs)) if few else (asked, pairs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(asked, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = Table(texts.mapInArrow(run, "doc_id long, set array<long>")).df
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-    both = one.join(named, "a").join(two, "b")
+    asked, named = (F.broadcast(asked), F.broadcast(pairs)) if n <= SENT_PAIRS else (asked, pairs)  # few: texts and sets need no shuffle; beyond, they meet by one
+    sets = Table(bare(docs).join(asked, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(run, "doc_id long, set_id long, set array<long>")).df
+    one = sets.select(F.col("doc_id").alias("a"), F.col("set_id").alias("ka"), F.col("set").alias("sa"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("set_id").alias("kb"), F.col("set").alias("sb"))
+    both = one.join(named, ["a", "ka"]).join(two, ["b", "kb"])
     return both.where(F.size(F.array_intersect("sa", "sb")) >= similarity * F.size(F.array_union("sa", "sb"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, similarity: float | None = None, sketch: int = 128, slack: float = 0.15, sample: int = 8192, block_rows: int = 2048) -> DataFrame:
+def planned(fps: DataFrame, total: int, radius: int, sample: int, block_rows: int) -> Plan:
+    """The plan for a column fp of `total` rows, from at most about `sample` of them."""
+    keep = int(min(1.0, sample / max(total, 1)) * 1_000_000)
+    some = fps.where(F.pmod(F.xxhash64(*fps.columns), F.lit(1_000_000)) < keep).select("fp").toPandas()["fp"].sort_values().to_numpy().astype(np.int64)
+    return make_plan(np.random.default_rng(7).permutation(some).view(np.uint64), total, radius, block_rows)
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, sample: int = 8192, block_rows: int = 2048) -> DataFrame:
     """doc_id, fp and component_id of each row of docs(doc_id, text).
 
-    Fingerprints link at `radius` or fewer differing bits; component_id is the smallest doc_id reachable, itself
-    included. With `similarity`, a link also needs that Jaccard similarity of the two rows' shingle sets. The `sketch`
-    smallest distinct hashes of each decide exactly where they are all hashes, or where their estimate is off by more than
-    `slack` (four standard errors); the other pairs are decided on the whole sets. Then only links to nearest others are tried.
+    Fingerprints link at `radius` or fewer differing bits; component_id is the smallest doc_id reachable, itself included.
 
     A null text counts as empty; a text without words has fingerprint 0, linked like any other. Repeated rows and equal
-    texts fall into one class before anything is compared. A row without doc_id stays, and does not lend its id; where
-    no member has one, component_id is null. Other columns are ignored; an empty table gives an empty result.
+    fingerprints fall into one class before anything is compared. A row without doc_id stays, and does not lend its id;
+    where no member has one, component_id is null. Other columns are ignored; an empty table gives an empty result.
     `sample` bounds the fingerprints from which the index is planned; any plan gives the same links.
     """
-    prints = Table(fingerprints(docs, words, sketch if similarity is not None else 0))
-    classes = Table(
-        prints.df.groupBy("fp").agg(F.min("doc_id").alias("rep"), *([F.min_by("sketch", F.coalesce("doc_id", F.lit(NO_ID))).alias("sketch")] if similarity is not None else []))
-        .withColumn("rep", F.coalesce("rep", F.shiftrightunsigned("fp", 8).bitwiseOR(F.lit(NO_ID))))
-    )
+    prints = Table(fingerprints(docs, words))
+    classes = Table(prints.df.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("rep", F.coalesce("rep", _surrogate("fp"))).withColumn("root", F.col("rep")))
+    plan = planned(classes.df, classes.df.count(), radius, sample, block_rows)
+    return _named(prints.df, classes.df, components(linked(probes(classes.df, plan), plan)), "fp")
+
+
+def similar_texts(
+    docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8, tables: int = 2, sketch: int = 128, slack: float = 0.15, sample: int = 8192, block_rows: int = 2048, tries: tuple[int, ...] = (4, 32)
+) -> DataFrame:
+    """doc_id, set_id and component_id of each row of docs(doc_id, text).
+
+    Two rows link if the Jaccard similarity of their sets of `words`-word shingles is `similarity` or more and, in one of
+    `tables` independent pairs of fingerprints of these sets, `radius` or fewer bits differ. Rows of equal sets are one
+    class; component_id is the smallest doc_id reachable, itself included.
+
+    The `sketch` smallest hashes of two sets decide exactly where they are all hashes, and where their estimate is off by
+    more than `slack` (four standard errors); the other pairs are decided on the whole sets. Links inside a component
+    known already add nothing, so they are tried in rounds: each class against its `tries` nearest others in each key,
+    then, of the classes with candidates left, against more, and at last against all that are not yet in its component.
+
+    A null text counts as empty; texts without words are one class, which links with no other. A row without doc_id
+    stays, and does not lend its id; a class of such rows alone is decided on its sketch, and its component_id is null
+    unless a row with one is in it. Other columns are ignored; an empty table gives an empty result.
+    """
+    prints = Table(set_fingerprints(docs, words, sketch, tables))
+    least = F.min_by(F.struct("fps", "sketch"), F.coalesce("doc_id", F.lit(NO_ID))).alias("_one")
+    classes = Table(prints.df.groupBy("set_id").agg(F.min("doc_id").alias("rep"), least).select("set_id", F.coalesce("rep", _surrogate("set_id")).alias("rep"), "_one.*"))
     total = classes.df.count()
-    keep = min(1.0, sample / max(total, 1))
-    some = classes.df.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < int(keep * 1_000_000)).select("fp").toPandas()["fp"].sort_values().to_numpy().astype(np.int64)
-    rng = np.random.default_rng(7)
-    plan = make_plan(rng.permutation(some).view(np.uint64), total, radius, block_rows)
-    edges = linked(probes(classes.df, plan), plan, 4 if similarity is not None else 0)
-    if similarity is not None:
-        one = classes.df.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-        two = classes.df.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-        edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(one, "a").join(two, "b")
-        union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch)
-        known = (F.size("sa") < sketch) & (F.size("sb") < sketch)
-        common = F.when(known, F.size(F.array_intersect("sa", "sb"))).otherwise(F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))))
-        size = F.when(known, F.size(F.array_union("sa", "sb"))).otherwise(F.size(union))
-        edges = edges.where(size > 0).select("a", "b", known.alias("known"), (common / size).alias("estimate"))
-        tried = Table(edges.where(F.col("estimate") >= F.when(F.col("known"), similarity).otherwise(similarity - slack))).df
-        sure = F.col("known") | (F.col("estimate") > similarity + slack) | (F.greatest("a", "b") >= NO_ID)
-        edges = tried.where(sure & (F.col("estimate") >= similarity)).select("a", "b").union(similar(docs, tried.where(~sure).select("a", "b"), words, similarity))
-    found = components(edges)
-    named = classes.df.select("fp", "rep").join(found, classes.df["rep"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
-    out = prints.df.select("doc_id", "fp").join(named, F.col("fp") == F.col("_fp"))
-    return out.select("doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+    edges: list[DataFrame] = []
+    found: DataFrame | None = None
+    tried: list[DataFrame] = []
+    for turn in range(tables):
+        indexed = classes.df.where(F.size("sketch") > 0).select(F.col("fps")[turn].alias("fp"), "rep")
+        plan = planned(indexed, total, radius, sample, block_rows)
+        left: DataFrame | None = None
+        for nearest in (*tries, 1 << 60):
+            now = indexed if left is None else indexed.join(left, "rep", "left_semi")
+            now = now.withColumn("root", F.col("rep")) if found is None else now.join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "rep").alias("root"))
+            out = Table(linked(probes(now, plan), plan, nearest)).df
+            pairs = out.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            for before in tried:
+                pairs = pairs.join(before, ["a", "b"], "left_anti")
+            pairs = Table(pairs).df
+            tried.append(pairs)
+            edges.append(Table(_verified(docs, classes.df, pairs, words, similarity, sketch, slack)).df)
+            found = components(reduce(DataFrame.union, edges))
+            left = out.where("b is null").select(F.col("a").alias("rep")).distinct()
+            if left.isEmpty():
+                break
+    assert found is not None
+    return _named(prints.df.drop("fps", "sketch"), classes.df, found, "set_id")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float, sketch: int, slack: float) -> DataFrame:
+    """The pairs (a, b) of classes that reach the similarity, by their sketches where these decide."""
+    one = classes.select(F.col("rep").alias("a"), F.col("set_id").alias("ka"), F.col("sketch").alias("sa"))
+    two = classes.select(F.col("rep").alias("b"), F.col("set_id").alias("kb"), F.col("sketch").alias("sb"))
+    both = pairs.join(one, "a").join(two, "b")
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch)
+    known = (F.size("sa") < sketch) & (F.size("sb") < sketch)
+    common = F.when(known, F.size(F.array_intersect("sa", "sb"))).otherwise(F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))))
+    size = F.when(known, F.size(F.array_union("sa", "sb"))).otherwise(F.size(union))
+    judged = both.select("a", "b", "ka", "kb", known.alias("known"), (common / size).alias("estimate"))
+    judged = Table(judged.where(F.col("estimate") >= F.when(F.col("known"), similarity).otherwise(similarity - slack))).df
+    sure = F.col("known") | (F.col("estimate") > similarity + slack) | (F.col("b") >= NO_ID)
+    return judged.where(sure & (F.col("estimate") >= similarity)).select("a", "b").union(similar(docs, judged.where(~sure).select("a", "b", "ka", "kb"), words, similarity))
+
+
+def _surrogate(name: str) -> Column:
+    """An id for a class without doc_id, above all real ones."""
+    return F.shiftrightunsigned(name, 8).bitwiseOR(F.lit(NO_ID))
+
+
+def _named(prints: DataFrame, classes: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """prints with the component_id of their classes, which `by` names."""
+    roots = classes.select(F.col(by).alias("_by"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("_by", F.coalesce("root", "rep").alias("_root"))
+    out = prints.join(roots, F.col(by) == F.col("_by"))
+    return out.select(*prints.columns, F.when(F.col("_root") < NO_ID, F.col("_root")).alias("component_id"))
 
 
 def hex_fingerprint(fp: str):

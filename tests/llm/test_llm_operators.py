@@ -125,10 +125,17 @@ def test_pigeonhole_loses_no_pair(spark, radius):
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     plan = simhash_dedup.make_plan(np.array(signed, np.int64).view(np.uint64), len(fps), radius, block_rows=3)
     assert sum(t + 1 for t in plan.limits) == radius + 1 and sorted(b for p in plan.parts for b in p) == list(range(64))
-    df = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, rep long")
+    df = spark.createDataFrame([(f, i, i) for i, f in enumerate(signed)], "fp long, rep long, root long")
     links = [(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= radius]
     edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(df, plan), plan, nearest=1000).collect()]
     assert set(edges) == set(links)
+    some = simhash_dedup.linked(simhash_dedup.probes(df, plan), plan, nearest=1).collect()
+    more = {r["a"] for r in some if r["b"] is None}
+    taken = {tuple(sorted(r)) for r in some if r["b"] is not None}
+    assert taken <= set(links) and all({a, b} <= more for a, b in set(links) - taken)  # what one round leaves, the next can try
+    grouped = df.withColumn("root", F.col("rep") % 2)
+    edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(grouped, plan), plan, nearest=1000).collect()]
+    assert set(edges) == {(a, b) for a, b in links if a % 2 != b % 2}
     star = [tuple(e) for e in simhash_dedup.linked(simhash_dedup.probes(df, plan), plan).collect()]
     assert components_of(len(fps), star) == components_of(len(fps), links)
 
@@ -139,10 +146,40 @@ def test_similarity_decides(spark):
     close[60] = "other"
     far[::4] = ["other"] * len(far[::4])
     rows = [(i, " ".join(t)) for i, t in enumerate([text[0], text[1], close, far, text[2]])]
-    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, radius=20, similarity=0.8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), radius=20, tables=1).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
 
 
+@pytest.mark.parametrize(("tables", "tries"), [(1, (1,)), (2, (1, 2)), (1, (4, 32))])
+def test_similar_texts_lose_no_link(spark, tables, tries):
+    """Large groups of near copies, pairs beyond the similarity, shared boilerplate and odd rows against all pairs."""
+    boiler = " ".join(f"b{i}" for i in range(150))
+    rows = [(0, None), (1, ""), (2, "..."), (3, "..."), (None, "..."), (4, boiler)]
+    for group in range(3):
+        base = prose(EN, 150).split()
+        for copy in range(30):
+            words = base.copy()
+            for at in RNG.choice(len(words), RNG.integers(0, 9), replace=False):
+                words[at] = f"x{group}y{copy}z{at}"
+            rows.append((100 * (group + 1) + copy, " ".join(words)))
+    rows += [(900 + i, f"{boiler} {prose(EN, 20)}") for i in range(20)] + [(1000 + i, "same line again " * 50 + prose(EN, 60)) for i in range(5)]
+    rows += [(100, rows[6][1]), (None, rows[7][1]), (None, "a text of no id at all")]
+    sets = [set(simhash_dedup.shingle_set((t or "").encode(), 5).tolist()) for _, t in rows]
+    fps = [[simhash_dedup.fingerprint(simhash_dedup.remixed(np.array(sorted(x), np.int64), turn)) % 2**64 for turn in range(tables)] for x in sets]
+    links = [
+        (i, j) for i, j in combinations(range(len(rows)), 2)
+        if sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and any((x ^ y).bit_count() <= 12 for x, y in zip(fps[i], fps[j], strict=True)))
+    ]
+    root = components_of(len(rows), links)
+    least = {}
+    for r, c in zip(rows, root, strict=True):
+        least[c] = min([x for x in (least.get(c), r[0]) if x is not None], default=None)
+    df = spark.createDataFrame([(*r, "other") for r in rows], "doc_id long, text string, component_id string")
+    got = simhash_dedup.similar_texts(df, tables=tables, tries=tries, block_rows=16).select("doc_id", "component_id").collect()
+    assert Counter(map(tuple, got)) == Counter((r[0], least[c]) for r, c in zip(rows, root, strict=True))
+    assert simhash_dedup.similar_texts(df.limit(0)).count() == 0
+
+
 def test_licenses(spark, docs, rows):
     got = license_scan.scan(docs).collect()
     want = Counter()
