@@ -23,10 +23,10 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id, of repeated rows one.
 
-    Five-word shingles; links have at most 12 differing bits and a Jaccard similarity of 0.8 or more. Rows without
-    doc_id cannot be named, and stay.
+    Five-word shingles; links have a Jaccard similarity of 0.8 or more and, in one of two fingerprints, at most 12
+    differing bits. Rows without doc_id cannot be named, and stay.
     """
-    found = simhash_dedup.near_duplicates(docs, words=5, radius=12, similarity=0.8)
+    found = simhash_dedup.similar_texts(docs, words=5, radius=12, similarity=0.8, tables=2)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left").where("_first is not null or doc_id is null")
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy("n_chars"))
