@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact shingle similarity."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, shingle votes, exact similarity."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ from quarry.llm.common import small_batches, texts_of
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Words that are worked on at once.
 STREAM = 16_384
+#: Bits of the table that rules out most shingles of texts before the search among the items' shingles.
+SIEVE = 22
 _BLOCK = np.uint64(0xFFFF)
 
 
@@ -109,9 +111,22 @@ def window_prints(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, n
         yield target, over(now, target // 2)
 
 
+def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of `size` words."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 @dataclass
 class Items:
-    """A block of benchmark items, by window size: fingerprints, tables of block values within reach, and word hashes."""
+    """A block of benchmark items, by window size: fingerprints, tables of block values within reach, and word hashes.
+
+    votes: by shingle size, a sieve, the items' different shingle hashes, where each one's items start, and the items.
+    """
 
     radius: int
     shingle: int
@@ -121,6 +136,7 @@ class Items:
     sizes: dict[int, list[int]]
     prints: dict[int, np.ndarray]
     near: dict[int, np.ndarray]
+    votes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple[int, bytes]], radius: int, step: int, shingle: int, least: float) -> Items:
@@ -132,7 +148,15 @@ class Items:
                 sizes.setdefault(grid_size(len(found), step), []).append(len(words))
                 words.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
                 ids.append(item)
-        out = cls(radius, shingle, least, words, ids, dict(sorted(sizes.items())), {}, {})
+        out = cls(radius, shingle, least, words, ids, dict(sorted(sizes.items())), {}, {}, {})
+        for k in sorted({min(shingle, len(w)) for w in words}):
+            own = [np.unique(shingle_hashes(w, k)) if min(shingle, len(w)) == k else np.zeros(0, np.uint64) for w in words]
+            every, item = np.concatenate(own), np.repeat(np.arange(len(words)), list(map(len, own)))
+            order = np.argsort(every, kind="stable")
+            known, first = np.unique(every[order], return_index=True)
+            sieve = np.zeros(1 << SIEVE, bool)
+            sieve[(known >> np.uint64(64 - SIEVE)).astype(np.intp)] = True
+            out.votes[k] = (sieve, known, np.append(first, len(every)), item[order])
         flips = [np.uint16(0)]
         reach = radius // 4  # the pigeonhole: within the radius, one of four blocks differs in at most so many bits
         for _ in range(reach):
@@ -161,6 +185,59 @@ class Items:
                 out += [(p, m) for p in at[np.bitwise_count(prints[at] ^ fp) <= self.radius].tolist()]
         return out
 
+    def places(self, hashes: np.ndarray, ends: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(position, words, item) of the best passage of each text and item with a similarity of at least `least`.
+
+        A passage that similar holds so large a share of the item's shingles, so texts with fewer votes for an item are
+        out; of the others all passages are tried that start and end with one of its shingles, as the best one does.
+        """
+        for k, (sieve, known, first, item) in self.votes.items():
+            prints = shingle_hashes(hashes, k)
+            at = np.flatnonzero(sieve[(prints >> np.uint64(64 - SIEVE)).astype(np.intp)])
+            at = at[at + k <= ends[at]]
+            u = np.minimum(np.searchsorted(known, prints[at]), len(known) - 1)
+            same = known[u] == prints[at]
+            at, u = at[same], u[same]
+            n = first[u + 1] - first[u]
+            pos = np.repeat(at, n)
+            members = item[np.repeat(first[u] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            order = np.lexsort((pos, members, which[pos]))
+            pos, members = pos[order], members[order]
+            cut = np.flatnonzero(np.diff(members, prepend=-1) | np.diff(which[pos], prepend=-1))
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(pos)][: len(cut)], strict=True):
+                m = int(members[lo])
+                if hi - lo >= self.least * (len(self.words[m]) - k + 1):
+                    best = self.best_passage(pos[lo:hi].tolist(), prints[pos[lo:hi]].tolist(), m, k)
+                    if best:
+                        yield best[0], best[1] + k - 1, m
+
+    def best_passage(self, pos: list[int], prints: list[int], m: int, k: int) -> tuple[int, int] | None:
+        """Start and shingles of the passage most similar to item m, the first of equals, given where its shingles stand.
+
+        Shorter items than a shingle are met by passages of their own length only.
+        """
+        need = Counter(shingle_hashes(self.words[m], k).tolist())
+        total = sum(need.values())
+        reach = int(total / self.least + 1e-9) if k == self.shingle else 1
+        best, found = 0.0, None
+        held, inter, j = Counter(), 0, 0
+        for i, start in enumerate(pos):
+            while j < len(pos) and pos[j] < start + reach:  # what any passage from here can hold at most
+                held[prints[j]] += 1
+                inter += held[prints[j]] <= need[prints[j]]
+                j += 1
+            if inter / total > best and inter >= self.least * total - 1e-9:
+                seen, common = Counter(), 0
+                for q in range(i, j):
+                    seen[prints[q]] += 1
+                    common += seen[prints[q]] <= need[prints[q]]
+                    s = common / (pos[q] - start + 1 + total - common)
+                    if s > best:
+                        best, found = s, (start, pos[q] - start + 1)
+            inter -= held[prints[i]] <= need[prints[i]]
+            held[prints[i]] -= 1
+        return found if best >= self.least else None
+
     def similarity(self, window: np.ndarray, m: int) -> float:
         """Weighted Jaccard similarity of the shingles of a window and of item m, weighted by how often each occurs."""
         a, b = self.shingles(window), self.shingles(self.words[m])
@@ -177,12 +254,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     """doc_id, item_id, start_word, n_words and similarity of each document and benchmark item that it holds.
 
     Each window of an item's size (words, down to a multiple of `step`) gets a SimHash of its words. Four 16-bit blocks
-    find all windows within `radius` bits of an item of that size; on these, the weighted Jaccard similarity of the
-    item's and the passage's `shingle`-word shingles decides exactly. The best place is returned, the first of equals.
+    find all windows within `radius` bits of an item of that size; beside them, texts are tried that hold enough of an
+    item's `shingle`-word shingles, whatever the passage's length, also where the text ends within it. The weighted
+    Jaccard similarity of the item's and the passage's shingles decides exactly; no passage at `similarity` or more is
+    lost. The best passage is returned, the first of equals.
 
     Items are a query set: they are gathered in blocks of at most `block_items`, and each block is held against all
-    documents. Null or empty texts and items without words match nothing; texts shorter than an item's window can't hold
-    it; repeated rows each give their rows; item_id may be null or repeat. Texts are read whole. Other columns are ignored.
+    documents. Null or empty texts and items without words match nothing; an item shorter than a shingle is held word
+    for word; repeated rows each give their rows; item_id may be null or repeat. Texts are read whole. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
@@ -212,8 +291,8 @@ def matches(items: Items, cache: WordHashes, stream: list[tuple[int, list[bytes]
     ends = np.cumsum(sizes)
     end_of, which = np.repeat(ends, sizes), np.repeat(np.arange(len(sizes)), sizes)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for p, m in items.candidates(hashes, end_of):
-        n = min(len(items.words[m]), int(end_of[p]) - p)
+    spans = [(p, min(len(items.words[m]), int(end_of[p]) - p), m) for p, m in items.candidates(hashes, end_of)]
+    for p, n, m in [*spans, *items.places(hashes, end_of, which)]:
         s = items.similarity(hashes[p : p + n], m)
         t = int(which[p])
         start = p - int(ends[t] - sizes[t])

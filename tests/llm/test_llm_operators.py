@@ -393,6 +393,34 @@ def test_leaks(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.clean(df.limit(0), bench).count() == 0
 
 
+def test_no_edited_passage_is_lost(spark):
+    """Passages with words substituted, deleted or inserted, inside a text or at its end; all windows of all lengths by brute force."""
+    rng = np.random.default_rng(5)
+    prose = lambda words, n: " ".join(rng.choice(words, n))
+    items = [(i, prose(EN + FR, int(n))) for i, n in enumerate(rng.integers(15, 60, 30))]
+    rows = []
+    for d in range(240):
+        w = items[d % 30][1].split()
+        for _ in range(int(rng.integers(1, 3))):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + int(rng.integers(0, 2))] = [f"new{d}"] * int(rng.integers(0, 2))
+        rows.append((d, prose(EN, 12) + " " + " ".join(w) + (" " + prose(FR, 12) if d % 2 else "")))
+    want = {}
+    for d, t in rows:
+        w, v = t.lower().split(), items[d % 30][1].lower().split()
+        b = Counter(tuple(v[k : k + 5]) for k in range(len(v) - 4))
+        for p in range(len(w)):
+            for e in range(p + 5, min(len(w), p + 2 * len(v)) + 1):
+                a = Counter(tuple(w[k : k + 5]) for k in range(p, e - 4))
+                s = sum((a & b).values()) / sum((a | b).values())
+                if s >= 0.8 and s > want.get((d, d % 30), (0,))[0]:
+                    want[d, d % 30] = (s, p, e - p)
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"], r["n_words"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert len(want) > 40 and got == want
+    assert {r["doc_id"] for r in decontaminate.clean(df, bench).collect()} == set(range(240)) - {d for d, _ in want}
+
+
 def test_window_prints_are_simhashes():
     h = RNG.integers(0, 2**63, 300, dtype=np.uint64)
     for size, prints in decontaminate.window_prints(h, [3, 4, 17, 64, 200, 299, 300, 301]):
