@@ -42,15 +42,18 @@ def _sound(hit: Column, kind: str) -> Column:
     return F.length(F.regexp_extract(hit, KINDS[kind][0], 2)) >= MIN_VALUE if kind == "assign" else F.lit(True)
 
 
-def parts(docs: DataFrame, keys: list[str]) -> DataFrame:
+def parts(docs: DataFrame, keys: list[str], repeated: bool = False) -> DataFrame:
     """keys, kind (its place in KINDS; -1 once for each row), start and stop (code points) of all candidate spans.
 
-    Texts are searched once: the matches are written to the shared folder, and the rest works on them.
+    Texts are searched once: the matches are written to the shared folder, and the rest works on them. repeated: keys may
+    occur in several rows, all of equal text; their matches count once, as places are sums of lengths over a key's matches.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("nth"), F.lit(0).alias("skip"), F.lit(0).alias("size"), F.lit(True).alias("sound")))
     every = F.concat(row, *(_hits(F.col("_text"), k) for k in KINDS))
     hits = Table(docs.select(*keys, text.alias("_text")).select(*keys, F.explode(every).alias("x")).select(*keys, "x.*")).df
+    if repeated:
+        hits = hits.dropDuplicates([*keys, "kind", "nth"])
     before = W.partitionBy(keys[0], "kind").orderBy("nth")
     stop = F.sum(F.col("skip").cast("long") + F.col("size")).over(before)
     placed = hits.where("kind >= 0").select(*keys, "kind", (stop - F.col("size")).alias("start"), stop.alias("stop"), "sound").where("sound").drop("sound")
@@ -99,11 +102,12 @@ def redact(docs: DataFrame, mark: str = "[secret]", reach: int = 200) -> DataFra
     """docs with each span, overlapping ones as one, replaced by `mark`, and n_chars, if there, counted anew.
 
     Rows meet their spans by doc_id and a hash of the text, so equal rows fare alike; texts without spans stay as they are.
+    Of equal rows the spans of one are placed.
     """
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     taken = max(map(len, docs.columns)) * "_"  # no column of docs starts with so many
     named = docs.withColumn(f"{taken}_key", key)
-    found = parts(named.select(F.col(f"{taken}_key").alias("row"), "text"), ["row"])
+    found = parts(named.select(F.col(f"{taken}_key").alias("row"), "text"), ["row"], repeated=True)
     spans = linked(found, ["row"], reach).distinct().groupBy(F.col("row").alias(f"{taken}_row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(f"{taken}_spans"))
     at = F.col(f"{taken}_spans")
     text, n = F.col("text"), F.length("text")
