@@ -59,11 +59,20 @@ def cosine_edges(rows: DataFrame, key: str, vec: str, least: float, groups: Sequ
         keys, own = frame["k"].to_numpy(), frame["own"].to_numpy()
         a, b = np.flatnonzero(own == frame["i"].iloc[0]), np.flatnonzero(own == frame["j"].iloc[0])
         link = (x[a] @ x[b].T >= least) & (keys[a][:, None] != keys[b][None, :])
-        out, free = [], np.ones(len(b), bool)
-        for r in np.flatnonzero(link.any(1)):  # each row keeps a link to its first partner; each partner one to its first row
-            js = np.flatnonzero(link[r])
-            out += [(keys[a[r]], keys[b[j]]) for j in js if free[j] or j == js[0]]
-            free[js] = False
+        out, free_a, free_b = [], link.any(1), np.ones(len(b), bool)
+        while free_a.any():  # a spanning forest of the block's links connects what all of them do
+            ahead = [int(np.argmax(free_a))]
+            free_a[ahead] = False
+            while ahead:
+                r = ahead.pop()
+                js = np.flatnonzero(link[r] & free_b)
+                free_b[js] = False
+                out += [(keys[a[r]], keys[b[j]]) for j in js]
+                for j in js:
+                    more = np.flatnonzero(link[:, j] & free_a)
+                    free_a[more] = False
+                    out += [(keys[a[q]], keys[b[j]]) for q in more]
+                    ahead += more.tolist()
         return pd.DataFrame(out, columns=["a", "b"])
 
     return pairs.select("k", "g", "v", "own", "p.i", "p.j").groupBy("g", "i", "j").applyInPandas(run, "a long, b long")

@@ -176,6 +176,24 @@ def test_components_and_hamming(spark):
     assert pairs == {(i, j) for i in range(90) for j in range(i + 1, 90) if ((codes[i] ^ codes[j]) & mask).bit_count() <= 3}
 
 
+def test_linkage_over_many_blocks(spark):
+    """Components with blocks far below the row count, against all pairs."""
+    rng = np.random.default_rng(11)
+    for least in (0.9, 0.97):
+        x = rng.normal(size=(240, 4))
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        link, own = x @ x.T >= least, np.arange(240)
+        while True:
+            after = np.where(link, own[None, :], 240).min(1)
+            if (after == own).all():
+                break
+            own = after
+        rows = spark.createDataFrame([(i, "g", v.tolist()) for i, v in enumerate(x)], "k long, g string, v array<double>")
+        for block in (16, 512):
+            got = cluster.single_linkage(rows, "k", "v", least, ["g"], block)
+            assert [r["component"] for r in got.orderBy("k").collect()] == own.tolist()
+
+
 def test_greedy_results_keep_apart(spark):
     pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(RNG.uniform(0, 10, (200, 2)))], "k long, x double, y double")
     kept = [r["k"] for r in greedy.spatial_dedup(pts, [], [], "k", "x", "y", 1.0).collect()]
