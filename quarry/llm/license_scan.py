@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,7 +45,8 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, notices: list[tupl
     All rolling word 2-gram hashes of a text are joined to the positions of the templates' 2-grams; the words themselves
     confirm a hash. Matches of a template at one offset (text position less template position) are a diagonal. A base
     phrase stands where one diagonal has all its 2-grams. Of a notice, diagonals that lie at most `drift` apart are
-    merged; it is found where they hold at least `coverage` of its 2-grams within one and a half times its length.
+    merged; it is found where they hold at least `coverage` of its 2-grams within one and a half times its length, in any
+    such window of a longer merged run.
     score: the largest share of 2-grams of what was found.
 
     A null text counts as empty; texts without words or matches give a row with 0, nulls and empty strings. Repeated
@@ -67,10 +70,16 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, notices: list[tupl
     apart = F.when(F.col("is_base"), F.lit(1)).otherwise((gap.isNull() | (gap > drift)).cast("int"))
     merged = diagonals.withColumn("apart", apart).withColumn("island", F.sum("apart").over(own))
     spans = merged.groupBy("row", "doc_id", "n_words", "template", "label", "is_base", "t_words", "t_grams", "island").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("start")
+        F.array_sort(F.flatten(F.collect_list(F.transform("places", lambda t: F.struct((F.col("diagonal") + t).alias("pos"), t.alias("t_pos")))))).alias("at"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("start")
     )
+    most = F.floor(1.5 * F.col("t_words")).cast("int")
+    twice = max((max(Counter(zip(w, w[1:], strict=False)).values(), default=1) for w in (t.split() for t, _ in [*base, *notices])), default=1)
+    within = lambda x, i: F.filter(F.slice("at", i + 1, most * twice), lambda y: y["pos"] + 2 - x["pos"] <= most)
+    places = lambda a: F.size(F.array_distinct(F.transform(a, lambda y: y["t_pos"])))
+    long = ~F.col("is_base") & (F.col("hi") + 2 - F.col("lo") > most)
+    spans = spans.withColumn("n", F.when(long, F.array_max(F.transform("at", lambda x, i: places(within(x, i))))).otherwise(places(F.col("at"))))
     share = F.col("n") / F.col("t_grams")
-    found = F.when(F.col("template") < 0, F.lit(False)).when(F.col("is_base"), F.col("n") == F.col("t_grams")).otherwise((share >= coverage) & (F.col("hi") + 2 - F.col("lo") <= 1.5 * F.col("t_words")))
+    found = F.when(F.col("template") < 0, F.lit(False)).when(F.col("is_base"), F.col("n") == F.col("t_grams")).otherwise(share >= coverage)
     spans = spans.withColumn("found", found)
     place = F.when(F.col("found") & F.col("is_base"), F.col("start").cast("long"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")

@@ -197,6 +197,14 @@ def test_licenses(spark, docs, rows):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_notices_beside_repetitions(spark):
+    """A whole notice is found whatever repeats its words before or after it; repetitions without one are not."""
+    cases = [("released under the mit license the mit license", "mit,mit-release", 1.0), ("copyright all rights reserved all rights reserved", "reserved", 1.0), ("all rights reserved " * 40 + "copyright all rights reserved", "reserved", 1.0)]
+    cases += [("mit license " * 30, "mit", 1.0), ("all rights reserved " * 30, "", 0.0), ("x " + "licensed under the apache license version 2 0 " * 50, "apache,apache-2.0", 1.0)]
+    got = license_scan.scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["labels"], r["score"]) for r in got] == [c[1:] for c in cases]
+
+
 def test_language(spark, docs):
     model = language_id.train(docs, ~language_id.held_out(2, 4), epochs=4)
     out = language_id.predict(docs, model).toPandas()
