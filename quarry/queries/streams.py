@@ -52,11 +52,11 @@ def steered_frontier(spark, d):
 
 @query("guided_descents")
 def guided_descents(spark, d):
-    seeds = table(spark, d, "supplier").where("s_suppkey <= 40").select(F.col("s_suppkey").alias("walk"), (-0.7 + F.col("s_nationkey") / 200.0).alias("cx"), (0.2 + F.col("s_acctbal") / 60000).alias("cy"))
+    seeds = table(spark, d, "supplier").select(F.col("s_suppkey").alias("walk"), (-0.7 + F.col("s_nationkey") / 200.0).alias("cx"), (0.2 + F.col("s_acctbal") / 60000).alias("cy"))
     return frontier.descend(seeds, steps=5)
 
 
 @query("maneuvers")
 def maneuvers(spark, d):
-    seeds = table(spark, d, "supplier").where("s_suppkey <= 30").select(F.col("s_suppkey").alias("view"), (-1.0 + F.col("s_nationkey") / 25.0).alias("cx"), (F.col("s_acctbal") / 20000).alias("cy"))
+    seeds = table(spark, d, "supplier").select(F.col("s_suppkey").alias("view"), (-1.0 + F.col("s_nationkey") / 25.0).alias("cx"), (F.col("s_acctbal") / 20000).alias("cy"))
     return frontier.snap(seeds, [2, 3, 4])

@@ -296,3 +296,12 @@ def test_trackers():
         assert b.fits()
         b.charge(cost)
     assert not b.fits()
+
+
+@pytest.mark.parametrize("name, key", [("guided_descents", "walk"), ("maneuvers", "view")])
+def test_every_supplier_is_used(spark, name, key):
+    from quarry import catalog
+
+    data = "/root/testdata/sf0.01"
+    want = {r[0] for r in spark.read.parquet(f"{data}/supplier.parquet").select("s_suppkey").collect()}
+    assert len(want) > 40 and {r[0] for r in catalog.QUERIES[name](spark, data).select(key).collect()} == want
