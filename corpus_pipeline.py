@@ -7,7 +7,6 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, language_id, secret_scan, sentencepiece_codec, simhash_dedup
@@ -21,16 +20,12 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id, of repeated rows one.
+    """Of each group of near-duplicates the row with the smallest doc_id, of repeated rows one.
 
-    Five-word shingles; links have a Jaccard similarity of 0.8 or more and, in one of two fingerprints, at most 12
-    differing bits. Rows without doc_id cannot be named, and stay.
+    Five-word shingles; links have a Jaccard similarity of 0.8 or more. Rows are told apart by their place in the table,
+    so a doc_id that is null or shared by unlike texts loses none of them.
     """
-    found = simhash_dedup.similar_texts(docs, words=5, radius=12, similarity=0.8, tables=2)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left").where("_first is not null or doc_id is null")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("n_chars"))
-    return kept.withColumn("_nth", nth).where("_nth = 1 or doc_id is null").select(*docs.columns)
+    return simhash_dedup.without_near_copies(docs, words=5, similarity=0.8)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

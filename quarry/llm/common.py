@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset and all runs on this machine (tests)."""
     sc = spark.sparkContext
     if not (found := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -42,6 +45,31 @@ class Table:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(spark: SparkSession) -> None:
+    """Lets the driver notice which shuffles nothing refers to any longer, so that their files go before the next are written."""
+    spark._jvm.System.gc()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and then what it has freed goes back to the system: workers outlive their tasks, and stages share a machine."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return trimmed
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Column names like the given ones that clash with no column, whatever its case."""
+    line = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in columns), default=0))
+    return [line + n for n in names]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Python stages over texts get batches of BATCH_ROWS rows at most."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
@@ -104,21 +132,19 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node reachable from each node of an edge list of longs.
 
-    Alternating large-star and small-star rounds; each round's edges are a table in the shared folder. Hubs are
-    safe: minima are pre-aggregated map-side, and a second grouping column makes the planner exchange both
-    sides of the join anew, so that adaptive execution can split a hub's partition. Null ends and loops are left out.
+    Each task first connects what its own edges connect; then large-star and small-star rounds alternate until no edge
+    changes, and each round's edges are a table in the shared folder. Hubs are safe: minima are pre-aggregated map-side,
+    and a second grouping column makes the planner exchange both sides of the join anew, so that adaptive execution can
+    split a hub's partition. Null ends and loops are left out.
     """
-    now = Table(
-        edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") != F.col("lo")))
-        .distinct()
-    )
+    both_ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi != lo")
+    now = Table(both_ends.mapInArrow(lean(_contracted), "hi long, lo long").distinct())
     state = None
-    for _ in range(most_rounds):
-        seen = now.df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_003)).first()
+    while True:
+        seen = now.df.agg(F.count("*"), *(F.sum(F.xxhash64("hi", "lo", F.lit(turn)).cast("decimal(20,0)")) for turn in (1, 2))).first()
         if seen == state or not seen[0]:
             break
         state = seen
@@ -128,11 +154,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         after = Table(small.select("e.*").where("hi != lo").distinct())
         now.drop()
         now = after
-    else:
-        raise RuntimeError("components did not converge")
     return now.df.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.df.select("lo", "lo").distinct())
 
 
+def _contracted(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Edges that connect the same nodes as the given ones, from each node to the smallest that a run of `rows` edges reaches."""
+
+    def stars(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(kept)
+        hi, lo = table.column("hi").to_numpy(), table.column("lo").to_numpy()
+        nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+        root = local_roots(len(nodes), at[: len(hi)], at[len(hi) :])
+        moved = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["hi", "lo"])
+
+    kept: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        kept.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield stars(kept)
+            kept, n = [], 0
+    if n:
+        yield stars(kept)
+
+
 def _least(edges: DataFrame, u: str, v: str, own: bool = False) -> DataFrame:
     """Each edge with m: the least neighbour v of its u (u itself counts if own)."""
     least = edges.groupBy(F.col(u).alias("k"), (F.col(u) % 2).alias("_odd")).agg(F.min(v).alias("m")).drop("_odd")

@@ -11,18 +11,20 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import Table, components, expanded, small_batches, sorted_chunks, texts_of
+from quarry.llm.common import Table, components, expanded, lean, local_roots, settled, small_batches, sorted_chunks, texts_of, unused
 
 BITS = 64
-#: So many pairs of ids (16 bytes each) at most are sent to each task.
-SENT_PAIRS = 500_000
-#: A task holds about so many pairs at once before it chooses among them.
-HELD_PAIRS = 2_000_000
-#: Surrogate ids of classes without any doc_id start here; real ids stay below.
-NO_ID = 0x7000_0000_0000_0000
+#: So many ids (two longs each) at most are sent to each task; more meet their rows by a shuffle.
+SENT_IDS = 500_000
+#: A task holds about so many pairs (24 bytes each) at once before it chooses among them.
+HELD_PAIRS = 300_000
+#: Keys that are split among blocks, at most; a key is split from block_rows rows on, or from its share of so many.
+SPLIT_KEYS = 100_000
+_GOLDEN, _MIX = 0x9E3779B97F4A7C15, 2**64 - 1
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -60,7 +62,7 @@ def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
     """Hashes whose bits are independent of the given ones and of other turns'; turn 0 leaves them as they are."""
     x = hashes.view(np.uint64)
     if turn:
-        x = x + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15)
+        x = x + np.uint64(turn * _GOLDEN & _MIX)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x = x ^ (x >> np.uint64(31))
@@ -72,10 +74,6 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(at, pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)))
 
 
-def bare(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id and fp of each row, over its shingles with repeats."""
     small_batches(docs.sparkSession)
@@ -86,21 +84,27 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             fps = [fingerprint(shingle_hashes(text, words)) for text in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], schema=schema)
 
-    return bare(docs).mapInArrow(run, "doc_id long, fp long")
+    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bare.mapInArrow(lean(run), "doc_id long, fp long")
 
 
-def set_fingerprints(docs: DataFrame, words: int, sketch: int, tables: int) -> DataFrame:
-    """doc_id, set_id, fps (one fingerprint for each table) and the `sketch` smallest hashes of each row's shingle set."""
+def with_prints(docs: DataFrame, words: int, tables: int, names: list[str]) -> DataFrame:
+    """docs with its row's number, the name of its shingle set (null: no words), and `tables` fingerprints of the set,
+    called `names`."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("fps", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    row, named, *fps = names
+    text = T.StructField(f"{row}_text", T.StringType())
+    kinds = T.StructType([*docs.schema.fields, T.StructField(row, T.LongType()), *(T.StructField(n, T.LongType()) for n in (named, *fps))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text, words) for text in texts_of(batch.column("text"))]
-            fps = [np.array([fingerprint(remixed(x, turn)) for turn in range(tables)], np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(set_id, sets), pa.int64()), lists(fps), lists([x[:sketch] for x in sets])], schema=schema)
+            sets = [shingle_set(t, words) for t in texts_of(batch.column(text.name))]
+            prints = [pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())]
+            prints += [pa.array([fingerprint(remixed(x, turn)) for x in sets], pa.int64()) for turn in range(tables)]
+            rest = batch.drop_columns([text.name])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *prints], names=[*rest.schema.names, named, *fps])
 
-    return bare(docs).mapInArrow(run, "doc_id long, set_id long, fps array<long>, sketch array<long>")
+    return docs.select("*", F.monotonically_increasing_id().alias(row), F.col("text").cast("string").alias(text.name)).mapInArrow(lean(run), kinds)
 
 
 @dataclass(frozen=True)
@@ -192,139 +196,144 @@ def make_plan(sample: np.ndarray, total: int, radius: int, block_rows: int = 204
         if (end := done[radius + 1]) and (best is None or end[0] < best[0]):
             best = (end[0], parts, end[1])
     assert best is not None
-    plan = Plan(best[1], best[2], radius, {})
-    blocks = {}
-    for i, limit in enumerate(plan.limits):
-        if limit >= 0 and len(sample):
-            keys, n = np.unique(plan.keys(sample.astype(np.uint64), i)[1], return_counts=True)
-            expected = n * (total / len(sample))
-            for k, x in zip(keys[(expected > block_rows) & (n > 3)].tolist(), expected[(expected > block_rows) & (n > 3)].tolist(), strict=True):
-                blocks[k] = int(-(-x // block_rows))
-    return Plan(plan.parts, plan.limits, radius, blocks)
+    return Plan(best[1], best[2], radius, {})
+
+
+def split_keys(classes: DataFrame, plan: Plan, total: int, block_rows: int) -> Plan:
+    """The plan with the number of blocks of each key that many of the classes probe, by their measured counts.
+
+    Keys are counted over a share of the classes, chosen by hash, so large that a key to be split has about 64 rows in it.
+    """
+    some = classes.select("fp").limit(1000).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    each = sum(len(plan.keys(some, i)[0]) for i, limit in enumerate(plan.limits) if limit >= 0) / max(1, len(some))
+    least = int(max(block_rows, each * total / SPLIT_KEYS))
+    share = min(1.0, 64 / least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            for i, limit in enumerate(plan.limits):
+                if limit >= 0:
+                    keys, n = np.unique(plan.keys(fps, i)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    chosen = classes.select("fp").where(F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000))
+    counted = chosen.mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least * share)
+    return Plan(plan.parts, plan.limits, plan.radius, {r["key"]: int(-(-r["n"] // (least * share))) for r in counted.toLocalIterator()})
+
+
+PROBE = "key long, pair long, fp long, more long, node long, off long"
 
 
 def probes(classes: DataFrame, plan: Plan) -> DataFrame:
-    """key, block pair, fp, rep and root of each probe. A key expected to be large is cut into blocks by rep; its rows
-    go to each pair of blocks that holds theirs, so that no task gets the whole key."""
-    schema = pa.schema([("key", pa.int64()), ("pair", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64()), ("root", pa.int64())])
+    """key, block pair, fp, more, node and off (root XOR node) of each probe of classes(fp, more, node, root). A key expected
+    to be large is cut into blocks by node; its rows go to each pair of blocks that holds theirs, so that no task gets
+    the whole key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = np.array(sorted(plan.blocks), np.int64)
+        sizes = np.array([plan.blocks[k] for k in large.tolist()], np.int64)
         for batch in batches:
-            fps, reps, roots = batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy(), batch.column("root").to_numpy()
+            fp, more, node, off = (batch.column(c).to_numpy() for c in ("fp", "more", "node", "root"))
+            off = off ^ node
             for i, limit in enumerate(plan.limits):
                 if limit < 0:
                     continue
-                rows, keys = plan.keys(fps, i)
+                rows, keys = plan.keys(fp.view(np.uint64), i)
                 pairs = np.zeros(len(keys), np.int64)
-                if len(large) and (hot := np.isin(keys, large)).any():
+                if len(large):
+                    near = np.minimum(np.searchsorted(large, keys), len(large) - 1)
+                    hot = large[near] == keys
                     at = np.flatnonzero(hot)
-                    n = np.array([plan.blocks[k] for k in keys[at].tolist()])
+                    n = sizes[near[at]]
                     item, other = expanded(n)
-                    own = ((reps[rows[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)[item] % n[item]
-                    rows = np.concatenate([rows[~hot], rows[at][item]])
+                    own = ((node[rows[at]].astype(np.uint64) * np.uint64(_GOLDEN)) >> np.uint64(33)).astype(np.int64)[item] % n[item]
                     pairs = np.concatenate([pairs[~hot], np.minimum(own, other) * 1_000_000 + np.maximum(own, other)])
-                    keys = np.concatenate([keys[~hot], keys[at][item]])
-                for s in range(0, len(keys), 100_000):
-                    cut = slice(s, s + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(pairs[cut]), pa.array(fps[rows[cut]].view(np.int64)), pa.array(reps[rows[cut]]), pa.array(roots[rows[cut]])], schema=schema)
+                    rows, keys = np.concatenate([rows[~hot], rows[at][item]]), np.concatenate([keys[~hot], keys[at][item]])
+                for s in range(0, len(keys), 50_000):
+                    r = rows[s : s + 50_000]
+                    cols = [keys[s : s + 50_000], pairs[s : s + 50_000], fp[r], more[r], node[r], off[r]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "pair", "fp", "more", "node", "off"])
 
-    return classes.select("fp", "rep", "root").mapInArrow(run, "key long, pair long, fp long, rep long, root long").repartition("key", "pair").sortWithinPartitions("key", "pair", "rep")
+    dealt = classes.select("fp", "more", "node", "root").mapInArrow(lean(run), PROBE)
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
 
 
-def linked(sorted_probes: DataFrame, plan: Plan, nearest: int | None = None) -> DataFrame:
-    """Edges (a, b) between classes of different roots within the radius.
+def linked(sorted_probes: DataFrame, plan: Plan, nearest: int | None = None, both: int = 2 * BITS) -> DataFrame:
+    """Edges (a, b) between nodes of different roots whose fp are within the radius and whose fp and more within `both` bits.
 
     nearest = None: of each run of equal keys, edges that connect what its links connect (not each link).
-    nearest = n: true links, for each class those to its n nearest others on either side of it in the run. Both ends of
+    nearest = n: true links, for each node those to its n nearest others on either side of it in the run. Both ends of
     each link left out come as rows with a null b, so that another round can try them.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def chosen(rep: np.ndarray, a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+    def chosen(node: np.ndarray, a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
         if nearest is None:
-            a, b = local_star(len(rep), a, b)
-            return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], schema=schema)
+            a, b = local_star(len(node), a, b)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], schema=schema)
         take = np.zeros(len(a), bool)
         for end in (a, b):
             order = np.lexsort((dist, end))
             first = np.r_[True, end[order][1:] != end[order][:-1]]
             place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
             take[order[place < nearest]] = True
-        more = np.unique(np.concatenate([rep[a[~take]], rep[b[~take]]]))
-        ends = np.concatenate([rep[b[take]], more])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[a[take]], more])), pa.array(ends, mask=np.arange(len(ends)) >= take.sum())], schema=schema)
+        rest = np.unique(np.concatenate([node[a[~take]], node[b[~take]]]))
+        ends = np.concatenate([node[b[take]], rest])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[a[take]], rest])), pa.array(ends, mask=np.arange(len(ends)) >= take.sum())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_chunks(batches, ["key", "pair"]):
-            key, pair = table.column("key").to_numpy(), table.column("pair").to_numpy()
-            fp, rep, root = table.column("fp").to_numpy().view(np.uint64), table.column("rep").to_numpy(), table.column("root").to_numpy()
+        masks = [np.uint64(sum(1 << b for b in p)) for p in plan.parts]
+        for table in sorted_chunks(batches, ["key", "pair"], 100_000):
+            key, pair, node = (table.column(c).to_numpy() for c in ("key", "pair", "node"))
+            root = table.column("off").to_numpy() ^ node
+            fp, more = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "more"))
             part = key >> 48
-            value = np.zeros(len(fp), np.uint64)
-            for i in np.unique(part).tolist():
-                value[part == i] = plan.value(fp[part == i], i)
             masked = (key & ((1 << 48) - 1)).astype(np.uint64)
-            masks = [np.uint64(sum(1 << b for b in p)) for p in plan.parts]
             idx, d, found, held = np.arange(len(key)), 0, [], 0
             while len(idx):
                 d += 1
-                idx = idx[idx + d < len(key)]
+                idx = idx[: np.searchsorted(idx, len(key) - d)]
                 idx = idx[(key[idx] == key[idx + d]) & (pair[idx] == pair[idx + d])]
                 diff = fp[idx] ^ fp[idx + d]
-                hit = np.flatnonzero((np.bitwise_count(diff) <= plan.radius) & (root[idx] != root[idx + d]))
+                dist = np.bitwise_count(diff)
+                hit = np.flatnonzero(dist <= plan.radius)
                 if len(hit):
-                    x, diff = idx[hit], diff[hit]
-                    ok = (value[x] & value[x + d]) == masked[x]
-                    for i, limit in enumerate(plan.limits):  # only where it is the first partition that finds the pair
+                    x, diff, dist = idx[hit], diff[hit], dist[hit]
+                    ok = (root[x] != root[x + d]) & (dist + np.bitwise_count(more[x] ^ more[x + d]) <= both)
+                    x, diff, dist = x[ok], diff[ok], dist[ok]
+                    common = fp[x] & fp[x + d]
+                    ok = np.ones(len(x), bool)
+                    for i, limit in enumerate(plan.limits):  # only where it is the first partition that finds the pair, by the key that both reach
+                        own = part[x] == i
+                        ok[own] &= plan.value(common[own], i) == masked[x[own]]
                         near = np.bitwise_count(diff & masks[i]).astype(np.int64)
-                        ok &= np.where(part[x] == i, near <= limit, (near > limit) | (part[x] < i))
-                    found.append(np.stack([x[ok], x[ok] + d, np.bitwise_count(diff[ok])], 1))
-                    held += int(ok.sum())
+                        ok &= np.where(own, near <= limit, (near > limit) | (part[x] < i))
+                    if ok.any():
+                        found.append(np.stack([x[ok], x[ok] + d, dist[ok]], 1))
+                        held += int(ok.sum())
                 if held > HELD_PAIRS:
-                    yield chosen(rep, *np.concatenate(found).T)
+                    yield chosen(node, *np.concatenate(found).T)
                     found, held = [], 0
             if held:
-                yield chosen(rep, *np.concatenate(found).T)
+                yield chosen(node, *np.concatenate(found).T)
 
-    return sorted_probes.mapInArrow(run, "a long, b long")
+    return sorted_probes.mapInArrow(lean(run), "a long, b long")
 
 
 def local_star(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each linked node to the smallest one that its links reach."""
-    from quarry.llm.common import local_roots
-
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     root = local_roots(len(nodes), at[: len(a)], at[len(a) :])
     moved = root != np.arange(len(nodes))
     return nodes[moved], nodes[root[moved]]
 
 
-def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids, ka and kb being their set_ids, of a Jaccard similarity of `similarity` or more, exactly."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(set_id, sets), pa.int64()), lists(sets)], names=["doc_id", "set_id", "set"])
-
-    written = Table(pairs)
-    pairs = written.df
-    if not (n := pairs.count()):
-        return pairs.select("a", "b")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    asked, named = (F.broadcast(asked), F.broadcast(pairs)) if n <= SENT_PAIRS else (asked, pairs)  # few: texts and sets need no shuffle; beyond, they meet by one
-    sets = Table(bare(docs).join(asked, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(run, "doc_id long, set_id long, set array<long>")).df
-    one = sets.select(F.col("doc_id").alias("a"), F.col("set_id").alias("ka"), F.col("set").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("set_id").alias("kb"), F.col("set").alias("sb"))
-    both = one.join(named, ["a", "ka"]).join(two, ["b", "kb"])
-    return both.where(F.size(F.array_intersect("sa", "sb")) >= similarity * F.size(F.array_union("sa", "sb"))).select("a", "b")
-
-
-def planned(fps: DataFrame, total: int, radius: int, sample: int, block_rows: int) -> Plan:
+def planned(fps: DataFrame, total: int, radius: int, sample: int) -> Plan:
     """The plan for a column fp of `total` rows, from at most about `sample` of them."""
     keep = int(min(1.0, sample / max(total, 1)) * 1_000_000)
-    some = fps.where(F.pmod(F.xxhash64(*fps.columns), F.lit(1_000_000)) < keep).select("fp").toPandas()["fp"].sort_values().to_numpy().astype(np.int64)
-    return make_plan(np.random.default_rng(7).permutation(some).view(np.uint64), total, radius, block_rows)
+    some = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < keep).toPandas()["fp"].sort_values().to_numpy().astype(np.int64)
+    return make_plan(np.random.default_rng(7).permutation(some).view(np.uint64), total, radius)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, sample: int = 8192, block_rows: int = 2048) -> DataFrame:
@@ -333,88 +342,133 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, sample: in
     Fingerprints link at `radius` or fewer differing bits; component_id is the smallest doc_id reachable, itself included.
 
     A null text counts as empty; a text without words has fingerprint 0, linked like any other. Repeated rows and equal
-    fingerprints fall into one class before anything is compared. A row without doc_id stays, and does not lend its id;
-    where no member has one, component_id is null. Other columns are ignored; an empty table gives an empty result.
-    `sample` bounds the fingerprints from which the index is planned; any plan gives the same links.
+    fingerprints fall into one class before anything is compared. Rows that share a doc_id but not the fingerprint are
+    linked only if their fingerprints are. A row without doc_id stays, and does not lend its id; where no row of a
+    component has one, component_id is null. Other columns are ignored; an empty table gives an empty result. `sample`
+    bounds the fingerprints from which the index is planned; any plan gives the same links.
     """
     prints = Table(fingerprints(docs, words))
-    classes = Table(prints.df.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("rep", F.coalesce("rep", _surrogate("fp"))).withColumn("root", F.col("rep")))
-    plan = planned(classes.df, classes.df.count(), radius, sample, block_rows)
-    return _named(prints.df, classes.df, components(linked(probes(classes.df, plan), plan)), "fp")
+    classes = Table(prints.df.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", F.lit(0).cast("long").alias("more"), F.col("fp").alias("node"), F.col("fp").alias("root"))).df
+    total = classes.count()
+    plan = split_keys(classes, planned(classes, total, radius, sample), total, block_rows)
+    return with_least(prints.df, "fp", classes.select("fp", "least"), components(linked(probes(classes, plan), plan)))
 
 
-def similar_texts(
-    docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8, tables: int = 2, sketch: int = 128, slack: float = 0.15, sample: int = 8192, block_rows: int = 2048, tries: tuple[int, ...] = (4, 32)
-) -> DataFrame:
-    """doc_id, set_id and component_id of each row of docs(doc_id, text).
+def with_least(rows: DataFrame, by: str, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the smallest id (`least` of classes) of the component of its class, named by column `by`."""
+    in_one = Table(classes.join(found, F.col(by) == F.col("node"), "left").select(F.col(by).alias("_by"), F.coalesce("root", by).alias("_root"), "least")).df
+    roots = in_one.groupBy(F.col("_root").alias("_r")).agg(F.min("least").alias("component_id"))
+    named = in_one.select("_by", "_root").join(roots, F.col("_root") == F.col("_r")).select("_by", "component_id")
+    return rows.join(named, F.col(by) == F.col("_by")).select(*rows.columns, "component_id")
 
-    Two rows link if the Jaccard similarity of their sets of `words`-word shingles is `similarity` or more and, in one of
-    `tables` independent pairs of fingerprints of these sets, `radius` or fewer bits differ. Rows of equal sets are one
-    class; component_id is the smallest doc_id reachable, itself included.
 
-    The `sketch` smallest hashes of two sets decide exactly where they are all hashes, and where their estimate is off by
-    more than `slack` (four standard errors); the other pairs are decided on the whole sets. Links inside a component
-    known already add nothing, so they are tried in rounds: each class against its `tries` nearest others in each key,
-    then, of the classes with candidates left, against more, and at last against all that are not yet in its component.
+def similar_sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of set names whose Jaccard similarity is `similarity` or more, decided on the whole sets.
 
-    A null text counts as empty; texts without words are one class, which links with no other. A row without doc_id
-    stays, and does not lend its id; a class of such rows alone is decided on its sketch, and its component_id is null
-    unless a row with one is in it. Other columns are ignored; an empty table gives an empty result.
+    rows: row and text; classes: node and the row of a text that has the set. Few sets are asked for by sending their
+    names to the texts; beyond SENT_IDS texts and names are shuffled.
     """
-    prints = Table(set_fingerprints(docs, words, sketch, tables))
-    least = F.min_by(F.struct("fps", "sketch"), F.coalesce("doc_id", F.lit(NO_ID))).alias("_one")
-    classes = Table(prints.df.groupBy("set_id").agg(F.min("doc_id").alias("rep"), least).select("set_id", F.coalesce("rep", _surrogate("set_id")).alias("rep"), "_one.*"))
-    total = classes.df.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists(sets)], names=["node", "set"])
+
+    asked = Table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "row"), "node"))
+    few = F.broadcast(asked.df) if asked.df.count() <= SENT_IDS else asked.df
+    sets = Table(rows.join(few, "row").select("node", "text").mapInArrow(lean(run), "node long, set array<long>")).df
+    one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    two = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sum"))
+    return met.where(F.col("common") >= similarity * (F.col("sum") - F.col("common"))).select("a", "b")
+
+
+def similar_classes(rows: DataFrame, classes: DataFrame, words: int, radius: int, both: int, similarity: float, tables: int, sample: int, block_rows: int, tries: tuple[int, ...]) -> DataFrame:
+    """(node, root) of the classes that are linked; classes: node, row, fp0, fp1, ..."""
+    spark = rows.sparkSession
+    total = classes.count()
+    ways: dict[int, Plan] = {}
     edges: list[DataFrame] = []
-    found: DataFrame | None = None
     tried: list[DataFrame] = []
-    for turn in range(tables):
-        indexed = classes.df.where(F.size("sketch") > 0).select(F.col("fps")[turn].alias("fp"), "rep")
-        plan = planned(indexed, total, radius, sample, block_rows)
-        left: DataFrame | None = None
-        for nearest in (*tries, 1 << 60):
-            now = indexed if left is None else indexed.join(left, "rep", "left_semi")
-            now = now.withColumn("root", F.col("rep")) if found is None else now.join(found, F.col("rep") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "rep").alias("root"))
-            out = Table(linked(probes(now, plan), plan, nearest)).df
-            pairs = out.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            for before in tried:
-                pairs = pairs.join(before, ["a", "b"], "left_anti")
-            pairs = Table(pairs).df
-            tried.append(pairs)
-            edges.append(Table(_verified(docs, classes.df, pairs, words, similarity, sketch, slack)).df)
-            found = components(reduce(DataFrame.union, edges))
-            left = out.where("b is null").select(F.col("a").alias("rep")).distinct()
-            if left.isEmpty():
-                break
+    found: DataFrame | None = None
+    left: dict[int, DataFrame | None] = dict.fromkeys(range(tables))
+    for nearest in (*tries, 1 << 60):
+        outs = {}
+        for turn in left:
+            now = classes.select("node", F.col(f"fp{turn}").alias("fp"), (F.col(f"fp{(turn + 1) % tables}") if tables > 1 else F.lit(0).cast("long")).alias("more"))
+            if turn not in ways:
+                ways[turn] = split_keys(now, planned(now, total, radius, sample), total, block_rows)
+            if left[turn] is not None:
+                now = now.join(left[turn], "node", "left_semi")
+            now = now.withColumn("root", F.col("node")) if found is None else now.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "fp", "more", F.coalesce("root", "node").alias("root"))
+            outs[turn] = Table(linked(probes(now, ways[turn]), ways[turn], nearest, both)).df
+            settled(spark)
+        pairs = reduce(DataFrame.union, outs.values()).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = Table(pairs).df
+        tried.append(pairs)
+        edges.append(Table(similar_sets(rows, classes, pairs, words, similarity)).df)
+        found = components(reduce(DataFrame.union, edges))
+        settled(spark)
+        left = {turn: out.where("b is null").select(F.col("a").alias("node")).distinct() for turn, out in outs.items()}
+        left = {turn: x for turn, x in left.items() if not x.isEmpty()}
+        if not left:
+            break
     assert found is not None
-    return _named(prints.df.drop("fps", "sketch"), classes.df, found, "set_id")
-
-
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float, sketch: int, slack: float) -> DataFrame:
-    """The pairs (a, b) of classes that reach the similarity, by their sketches where these decide."""
-    one = classes.select(F.col("rep").alias("a"), F.col("set_id").alias("ka"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("rep").alias("b"), F.col("set_id").alias("kb"), F.col("sketch").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch)
-    known = (F.size("sa") < sketch) & (F.size("sb") < sketch)
-    common = F.when(known, F.size(F.array_intersect("sa", "sb"))).otherwise(F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))))
-    size = F.when(known, F.size(F.array_union("sa", "sb"))).otherwise(F.size(union))
-    judged = both.select("a", "b", "ka", "kb", known.alias("known"), (common / size).alias("estimate"))
-    judged = Table(judged.where(F.col("estimate") >= F.when(F.col("known"), similarity).otherwise(similarity - slack))).df
-    sure = F.col("known") | (F.col("estimate") > similarity + slack) | (F.col("b") >= NO_ID)
-    return judged.where(sure & (F.col("estimate") >= similarity)).select("a", "b").union(similar(docs, judged.where(~sure).select("a", "b", "ka", "kb"), words, similarity))
-
-
-def _surrogate(name: str) -> Column:
-    """An id for a class without doc_id, above all real ones."""
-    return F.shiftrightunsigned(name, 8).bitwiseOR(F.lit(NO_ID))
-
-
-def _named(prints: DataFrame, classes: DataFrame, found: DataFrame, by: str) -> DataFrame:
-    """prints with the component_id of their classes, which `by` names."""
-    roots = classes.select(F.col(by).alias("_by"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("_by", F.coalesce("root", "rep").alias("_root"))
-    out = prints.join(roots, F.col(by) == F.col("_by"))
-    return out.select(*prints.columns, F.when(F.col("_root") < NO_ID, F.col("_root")).alias("component_id"))
+    return found
+
+
+def _similar(docs: DataFrame, words: int, tables: int, **how) -> tuple[Table, list[str], DataFrame]:
+    """docs with its prints, the names of the added columns (row, class, least doc_id first), and the classes linked."""
+    names = unused(docs.columns, "row", "set", *(f"fp{i}" for i in range(tables)))
+    row, by, *fps = names
+    table = Table(with_prints(docs, words, tables, names))
+    worded = table.df.where(F.col(by).isNotNull())
+    classes = Table(worded.groupBy(F.col(by).alias("node")).agg(F.min(row).alias("row"), *(F.max(f).alias(f"fp{i}") for i, f in enumerate(fps)))).df
+    texts = table.df.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
+    return table, names, similar_classes(texts, classes, words, tables=tables, **how)
+
+
+def similar_texts(
+    docs: DataFrame, words: int = 5, radius: int = 12, both: int = 30, similarity: float = 0.8, tables: int = 4, sample: int = 8192, block_rows: int = 2048, tries: tuple[int, ...] = (2, 16)
+) -> DataFrame:
+    """doc_id, set_id and component_id of each row of docs(doc_id, text).
+
+    Two rows link if the Jaccard similarity of their sets of `words`-word shingles is `similarity` or more, decided on
+    the whole sets, and if one of `tables` independent fingerprints of these sets differs in `radius` bits at most, and
+    with the next one in `both` at most. Rows of equal sets are one class; component_id is the smallest doc_id reachable,
+    itself included. Links inside a component known already add nothing, so they are tried in rounds: each class
+    against its `tries` nearest others in each key, then, of the classes with candidates left, against more, and at last
+    against all that are not yet in its component.
+
+    A null text counts as empty; texts without words are one class, which links with no other. Rows that share a doc_id
+    but not the text are linked only if their texts are. A row without doc_id stays, and does not lend its id; where no
+    row of a component has one, component_id is null. Other columns are ignored; an empty table gives an empty result.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table, (_, by, *_), found = _similar(narrow, words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, tries=tries)
+    prints = table.df.select("doc_id", F.coalesce(by, F.lit(0)).alias("set_id"))
+    classes = prints.groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    return with_least(prints, "set_id", classes, found)
+
+
+def without_near_copies(
+    docs: DataFrame, words: int = 5, radius: int = 12, both: int = 30, similarity: float = 0.8, tables: int = 4, sample: int = 8192, block_rows: int = 2048, tries: tuple[int, ...] = (2, 16)
+) -> DataFrame:
+    """One row of each group of near copies (see similar_texts), as it stands: the one with the smallest doc_id.
+
+    Rows without doc_id come last; of rows that tie, that is share the id or have none, the first in the order of input
+    stays. Texts without words are one group. Rows that share a doc_id and do not resemble each other all stay. Any
+    columns, whatever their names, are kept.
+    """
+    table, (row, by, *_), found = _similar(docs, words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, tries=tries)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col(row))
+    narrow = table.df.select(F.coalesce(by, F.lit(0)).alias("node"), order.alias("order"))
+    best = Table(narrow.groupBy("node").agg(F.min("order").alias("order"))).df
+    roots = best.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(F.coalesce("root", "node").alias("root"), "order")
+    first = roots.groupBy("root").agg(F.min("order").alias("order")).select(F.col(f"order.{row}").alias(f"{row}_kept"))
+    return table.df.join(first, F.col(row) == F.col(f"{row}_kept"), "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(fp: str):

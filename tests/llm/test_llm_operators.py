@@ -123,9 +123,11 @@ def test_pigeonhole_loses_no_pair(spark, radius):
     near = [int(b) ^ sum(1 << int(k) for k in RNG.choice(64, RNG.integers(0, radius + 3), replace=False)) for b in base for _ in range(5)]
     fps = sorted({*map(int, base), *near})
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    plan = simhash_dedup.make_plan(np.array(signed, np.int64).view(np.uint64), len(fps), radius, block_rows=3)
+    plan = simhash_dedup.make_plan(np.array(signed, np.int64).view(np.uint64), len(fps), radius)
     assert sum(t + 1 for t in plan.limits) == radius + 1 and sorted(b for p in plan.parts for b in p) == list(range(64))
-    df = spark.createDataFrame([(f, i, i) for i, f in enumerate(signed)], "fp long, rep long, root long")
+    df = spark.createDataFrame([(f, 0, i, i) for i, f in enumerate(signed)], "fp long, more long, node long, root long")
+    plan = simhash_dedup.split_keys(df, plan, len(fps), 3)
+    assert max(plan.blocks.values()) > 1  # keys of many rows are split
     links = [(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= radius]
     edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(df, plan), plan, nearest=1000).collect()]
     assert set(edges) == set(links)
@@ -133,11 +135,24 @@ def test_pigeonhole_loses_no_pair(spark, radius):
     more = {r["a"] for r in some if r["b"] is None}
     taken = {tuple(sorted(r)) for r in some if r["b"] is not None}
     assert taken <= set(links) and all({a, b} <= more for a, b in set(links) - taken)  # what one round leaves, the next can try
-    grouped = df.withColumn("root", F.col("rep") % 2)
+    grouped = df.withColumn("root", F.col("node") % 2)
     edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(grouped, plan), plan, nearest=1000).collect()]
     assert set(edges) == {(a, b) for a, b in links if a % 2 != b % 2}
     star = [tuple(e) for e in simhash_dedup.linked(simhash_dedup.probes(df, plan), plan).collect()]
     assert components_of(len(fps), star) == components_of(len(fps), links)
+    apart = df.withColumn("more", F.col("node") % 2)  # the second fingerprint counts too
+    edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(apart, plan), plan, nearest=1000, both=radius).collect()]
+    assert set(edges) == {(a, b) for a, b in links if (fps[a] ^ fps[b]).bit_count() + (a % 2 != b % 2) <= radius}
+
+
+def test_one_large_key_is_split_by_measured_counts(spark):
+    """A key that a sample of the plan hardly sees is still cut."""
+    few = np.arange(3000, dtype=np.int64) << 40  # all share the low bits
+    df = spark.createDataFrame([(int(f), 0, i, i) for i, f in enumerate(few)], "fp long, more long, node long, root long")
+    parts = tuple(tuple(range(16 * i, 16 * i + 16)) for i in range(4))
+    plan = simhash_dedup.split_keys(df, simhash_dedup.Plan(parts, (0, 0, 0, 0), 3, {}), len(few), 100)
+    assert max(plan.blocks.values()) >= 25
+    assert simhash_dedup.probes(df, plan).groupBy("key", "pair").count().agg(F.max("count")).first()[0] < 400
 
 
 def test_similarity_decides(spark):
@@ -150,7 +165,7 @@ def test_similarity_decides(spark):
     assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
 
 
-@pytest.mark.parametrize(("tables", "tries"), [(1, (1,)), (2, (1, 2)), (1, (4, 32))])
+@pytest.mark.parametrize(("tables", "tries"), [(1, (1,)), (3, (1, 2)), (2, (4, 32))])
 def test_similar_texts_lose_no_link(spark, tables, tries):
     """Large groups of near copies, pairs beyond the similarity, shared boilerplate and odd rows against all pairs."""
     boiler = " ".join(f"b{i}" for i in range(150))
@@ -166,9 +181,14 @@ def test_similar_texts_lose_no_link(spark, tables, tries):
     rows += [(100, rows[6][1]), (None, rows[7][1]), (None, "a text of no id at all")]
     sets = [set(simhash_dedup.shingle_set((t or "").encode(), 5).tolist()) for _, t in rows]
     fps = [[simhash_dedup.fingerprint(simhash_dedup.remixed(np.array(sorted(x), np.int64), turn)) % 2**64 for turn in range(tables)] for x in sets]
+
+    def near(i, j):
+        d = [(x ^ y).bit_count() for x, y in zip(fps[i], fps[j], strict=True)]
+        return any(d[t] <= 12 and (tables == 1 or d[t] + d[(t + 1) % tables] <= 30) for t in range(tables))
+
     links = [
         (i, j) for i, j in combinations(range(len(rows)), 2)
-        if sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and any((x ^ y).bit_count() <= 12 for x, y in zip(fps[i], fps[j], strict=True)))
+        if sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and near(i, j))
     ]
     root = components_of(len(rows), links)
     least = {}

@@ -52,7 +52,7 @@ def test_near_copies_go_and_one_stays(stages):
     linked = {x for p in similar for x in p}
     assert set(rows) - linked <= kept  # what resembles nothing stays
     both = [p for p in similar if set(p) <= kept]
-    assert len(both) <= 0.03 * len(similar)
+    assert len(both) <= 0.003 * len(similar)  # four fingerprints miss less than 1 in 1,000 of the links nearest to 0.8
     exact = {}
     for i in order:
         exact.setdefault(rows[i], []).append(i)
@@ -95,6 +95,18 @@ def test_hot_rows(spark):
     assert out.groupBy("doc_id").count().where("count > 1 and doc_id is not null").count() == 0
 
 
+def test_copies_go_by_text_and_not_by_id(spark):
+    """A shared or missing doc_id neither saves a copy nor costs a text of its own; column names do not clash."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    kinds = "doc_id long, text string, _row string, _nth int, set int, fp0 long, node long"
+    rows = [(5, one), (5, two), (7, one), (None, three), (None, three), (None, one), (9, ""), (None, None), (9, ""), (3, "short"), (3, "short")]
+    docs = spark.createDataFrame([(*r, "a", i, 1, 2, 3) for i, r in enumerate(rows)], kinds).repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(5, one), (5, two), (0, three), (9, ""), (3, "short")])
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF).count() == 0
+
+
 def test_accuracy_on_held_out_documents(spark):
     got = QUERIES["op3_language_id"](spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert np.mean(got["lang"] == got["lang_pred"]) > 0.97
