@@ -34,9 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
 class Table:
     """A DataFrame written once to the shared folder and read back, so that its lineage ends here."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, narrow: bool = False):
+        """narrow: rows of a few numbers, which fill no more files than there are cores to write them."""
         self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if narrow else df).write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -141,7 +142,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     split a hub's partition. Null ends and loops are left out.
     """
     both_ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi != lo")
-    now = Table(both_ends.mapInArrow(lean(_contracted), "hi long, lo long").distinct())
+    now = Table(both_ends.mapInArrow(lean(_contracted), "hi long, lo long").distinct(), narrow=True)
     state = None
     while True:
         seen = now.df.agg(F.count("*"), *(F.sum(F.xxhash64("hi", "lo", F.lit(turn)).cast("decimal(20,0)")) for turn in (1, 2))).first()
@@ -151,7 +152,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = now.df.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.df.select("lo", "hi"))
         large = _least(both, "u", "v", own=True).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         small = _least(large, "hi", "lo").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        after = Table(small.select("e.*").where("hi != lo").distinct())
+        after = Table(small.select("e.*").where("hi != lo").distinct(), narrow=True)
         now.drop()
         now = after
     return now.df.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.df.select("lo", "lo").distinct())

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import Table, components, expanded, lean, local_roots, settled, small_batches, sorted_chunks, texts_of, unused
+from quarry.llm.common import Table, components, expanded, lean, local_roots, run_starts, settled, small_batches, sorted_chunks, texts_of, unused
 
 BITS = 64
 #: So many ids (two longs each) at most are sent to each task; more meet their rows by a shuffle.
@@ -89,20 +89,20 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
 
 
 def with_prints(docs: DataFrame, words: int, tables: int, names: list[str]) -> DataFrame:
-    """docs with its row's number, the name of its shingle set (null: no words), and `tables` fingerprints of the set,
-    called `names`."""
+    """docs with its row's number, the name of its shingle set (null: no words), the set's size, and `tables` fingerprints
+    of the set, called `names`."""
     small_batches(docs.sparkSession)
-    row, named, *fps = names
+    row, named, count, *fps = names
     text = T.StructField(f"{row}_text", T.StringType())
-    kinds = T.StructType([*docs.schema.fields, T.StructField(row, T.LongType()), *(T.StructField(n, T.LongType()) for n in (named, *fps))])
+    kinds = T.StructType([*docs.schema.fields, T.StructField(row, T.LongType()), *(T.StructField(n, T.LongType()) for n in (named, count, *fps))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in texts_of(batch.column(text.name))]
-            prints = [pa.array([set_id(x) if len(x) else None for x in sets], pa.int64())]
+            prints = [pa.array([set_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
             prints += [pa.array([fingerprint(remixed(x, turn)) for x in sets], pa.int64()) for turn in range(tables)]
             rest = batch.drop_columns([text.name])
-            yield pa.RecordBatch.from_arrays([*rest.columns, *prints], names=[*rest.schema.names, named, *fps])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *prints], names=[*rest.schema.names, named, count, *fps])
 
     return docs.select("*", F.monotonically_increasing_id().alias(row), F.col("text").cast("string").alias(text.name)).mapInArrow(lean(run), kinds)
 
@@ -260,27 +260,28 @@ def probes(classes: DataFrame, plan: Plan) -> DataFrame:
 
 
 def linked(sorted_probes: DataFrame, plan: Plan, nearest: int | None = None, both: int = 2 * BITS) -> DataFrame:
-    """Edges (a, b) between nodes of different roots whose fp are within the radius and whose fp and more within `both` bits.
+    """Links (a, b) between nodes of different roots whose fp are within the radius and whose fp and more within `both` bits.
 
-    nearest = None: of each run of equal keys, edges that connect what its links connect (not each link).
-    nearest = n: true links, for each node those to its n nearest others on either side of it in the run. Both ends of
-    each link left out come as rows with a null b, so that another round can try them.
+    nearest = None: of each run of equal keys, edges that connect what its links connect (not each link); n says how many
+    links they stand for. nearest = k: links only, for each node those to its k nearest others in the run (k = 0: all).
+    ra and rb are the roots of a and b.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def chosen(node: np.ndarray, a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+    def chosen(node: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+        n = np.ones(len(a), np.int64)
         if nearest is None:
+            times = np.bincount(np.concatenate([a, b]), minlength=len(node))
             a, b = local_star(len(node), a, b)
-            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], schema=schema)
-        take = np.zeros(len(a), bool)
-        for end in (a, b):
-            order = np.lexsort((dist, end))
-            first = np.r_[True, end[order][1:] != end[order][:-1]]
-            place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            take[order[place < nearest]] = True
-        rest = np.unique(np.concatenate([node[a[~take]], node[b[~take]]]))
-        ends = np.concatenate([node[b[take]], rest])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[a[take]], rest])), pa.array(ends, mask=np.arange(len(ends)) >= take.sum())], schema=schema)
+            n = times[a]
+        elif nearest:
+            take = np.zeros(len(a), bool)
+            for end in (a, b):
+                order = np.lexsort((dist, end))
+                first = np.r_[True, end[order][1:] != end[order][:-1]]
+                place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+                take[order[place < nearest]] = True
+            a, b, n = a[take], b[take], n[take]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], root[a], root[b], n)], names=["a", "b", "ra", "rb", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [np.uint64(sum(1 << b for b in p)) for p in plan.parts]
@@ -313,12 +314,12 @@ def linked(sorted_probes: DataFrame, plan: Plan, nearest: int | None = None, bot
                         found.append(np.stack([x[ok], x[ok] + d, dist[ok]], 1))
                         held += int(ok.sum())
                 if held > HELD_PAIRS:
-                    yield chosen(node, *np.concatenate(found).T)
+                    yield chosen(node, root, *np.concatenate(found).T)
                     found, held = [], 0
             if held:
-                yield chosen(node, *np.concatenate(found).T)
+                yield chosen(node, root, *np.concatenate(found).T)
 
-    return sorted_probes.mapInArrow(lean(run), "a long, b long")
+    return sorted_probes.mapInArrow(lean(run), "a long, b long, ra long, rb long, n long")
 
 
 def local_star(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,99 +363,171 @@ def with_least(rows: DataFrame, by: str, classes: DataFrame, found: DataFrame) -
     return rows.join(named, F.col(by) == F.col("_by")).select(*rows.columns, "component_id")
 
 
-def similar_sets(rows: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of set names whose Jaccard similarity is `similarity` or more, decided on the whole sets.
-
-    rows: row and text; classes: node and the row of a text that has the set. Few sets are asked for by sending their
-    names to the texts; beyond SENT_IDS texts and names are shuffled.
-    """
+def sets_of(rows: DataFrame, classes: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """node and its whole set, for the nodes of `asked`. rows: row and text; classes: node and the row of a text that has the
+    set. Few names are sent to the texts; beyond SENT_IDS texts and names are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists(sets)], names=["node", "set"])
 
-    asked = Table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "row"), "node"))
-    few = F.broadcast(asked.df) if asked.df.count() <= SENT_IDS else asked.df
-    sets = Table(rows.join(few, "row").select("node", "text").mapInArrow(lean(run), "node long, set array<long>")).df
+    found = Table(asked.select("node").distinct().join(classes.select("node", "row"), "node"), narrow=True).df
+    few = F.broadcast(found) if found.count() <= SENT_IDS else found
+    return Table(rows.join(few, "row").select("node", "text").mapInArrow(lean(run), "node long, set array<long>")).df
+
+
+def similar_pairs(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of `similarity` or more, decided on the whole sets."""
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sum"))
     return met.where(F.col("common") >= similarity * (F.col("sum") - F.col("common"))).select("a", "b")
 
 
-def similar_classes(rows: DataFrame, classes: DataFrame, words: int, radius: int, both: int, similarity: float, tables: int, sample: int, block_rows: int, tries: tuple[int, ...]) -> DataFrame:
-    """(node, root) of the classes that are linked; classes: node, row, fp0, fp1, ..."""
+def in_blocks(members: DataFrame, block_rows: int, block_hashes: int) -> tuple[DataFrame, DataFrame]:
+    """members (node, root, family, n) with key (of its group) and block, and the units: pairs of a family's blocks to be compared.
+
+    Members of one root, if they fill a block, are a group of their own, and need not be compared with each other; the
+    other members of a family are group -1. A block has about `block_rows` members and `block_hashes` hashes in all.
+    """
+    own = members.groupBy(F.col("family").alias("f"), F.col("root").alias("r")).count().where(F.col("count") >= block_rows).select("f", "r")
+    grouped = members.join(own, (F.col("family") == F.col("f")) & (F.col("root") == F.col("r")), "left")
+    grouped = grouped.select("family", "node", "root", "n", F.coalesce("r", F.lit(-1)).alias("key"))  # a root of this name is compared within, too
+    blocks = F.ceil(F.greatest(F.count("*") / block_rows, F.sum("n") / block_hashes)).alias("blocks")
+    sized = grouped.groupBy(F.col("family").alias("f"), F.col("key").alias("k")).agg(blocks)
+    dealt = grouped.join(sized, (F.col("family") == F.col("f")) & (F.col("key") == F.col("k"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    each = sized.select("f", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
+    x, y = each.alias("x"), each.alias("y")
+    later = F.struct("x.k", "x.b") <= F.struct("y.k", "y.b")
+    units = x.join(y, (F.col("x.f") == F.col("y.f")) & later & ((F.col("x.k") != F.col("y.k")) | (F.col("x.k") == -1)))
+    return dealt.select("family", "node", "root", "n", "key", "block"), units.select(F.col("x.f").alias("f"), F.col("x.k").alias("k1"), F.col("x.b").alias("b1"), F.col("y.k").alias("k2"), F.col("y.b").alias("b2"))
+
+
+def similar_in_units(dealt: DataFrame, units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect what the links between members of different roots connect, unit by unit, on the whole sets."""
+    named = units.withColumn("unit", F.xxhash64("f", "k1", "b1", "k2", "b2"))
+    sides = named.select("f", "unit", F.explode(F.array_distinct(F.array(F.struct(F.col("k1").alias("k"), F.col("b1").alias("b")), F.struct(F.col("k2").alias("k"), F.col("b2").alias("b"))))).alias("side"))
+    sides = sides.select("f", "unit", "side.k", "side.b")
+    placed = dealt.join(sides, (F.col("family") == F.col("f")) & (F.col("key") == F.col("k")) & (F.col("block") == F.col("b"))).select("unit", "node", "root")
+    dealt_out = placed.join(sets, "node").select("unit", "node", "root", "set").repartition("unit").sortWithinPartitions("unit", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_chunks(batches, ["unit"], 256):
+            cuts = [*run_starts(table, ["unit"]).tolist(), table.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = table.slice(lo, hi - lo).combine_chunks()
+                node, root = part.column("node").to_numpy(), part.column("root").to_numpy()
+                links = links_of(part.column("set").combine_chunks(), root, similarity)
+                a, b = local_star(len(node), *links)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    return dealt_out.mapInArrow(lean(run), "a long, b long")
+
+
+def links_of(sets: pa.ListArray, root: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different roots whose sets are that similar: hashes that occur once say nothing, the others are bits."""
+    sizes = np.diff(sets.offsets.to_numpy())
+    flat, owner = sets.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    _, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = n > 1
+    column = np.cumsum(shared) - 1
+    ok = shared[at]
+    owner, column = owner[ok], column[at[ok]]
+    bits = np.zeros((len(sizes), -(-int(shared.sum()) // 64)), np.uint64)
+    np.bitwise_or.at(bits, (owner, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    a, b = [], []
+    for i in range(len(sizes) - 1):
+        rest = np.flatnonzero((root[i + 1 :] != root[i]) & (sizes[i + 1 :] >= similarity * sizes[i]) & (similarity * sizes[i + 1 :] <= sizes[i])) + i + 1
+        common = np.bitwise_count(bits[rest] & bits[i]).sum(1, dtype=np.int64)
+        hit = rest[common >= similarity * (sizes[i] + sizes[rest] - common)]
+        a.append(np.full(len(hit), i))
+        b.append(hit)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def similar_classes(rows: DataFrame, classes: DataFrame, words: int, radius: int, both: int, similarity: float, tables: int, sample: int, block_rows: int, unit_rows: int, unit_hashes: int) -> DataFrame:
+    """(node, root) of the classes that are linked; classes: node, row, n (its set's size), fp0, fp1, ..."""
     spark = rows.sparkSession
     total = classes.count()
-    ways: dict[int, Plan] = {}
-    edges: list[DataFrame] = []
-    tried: list[DataFrame] = []
-    found: DataFrame | None = None
-    left: dict[int, DataFrame | None] = dict.fromkeys(range(tables))
-    for nearest in (*tries, 1 << 60):
-        outs = {}
-        for turn in left:
-            now = classes.select("node", F.col(f"fp{turn}").alias("fp"), (F.col(f"fp{(turn + 1) % tables}") if tables > 1 else F.lit(0).cast("long")).alias("more"))
-            if turn not in ways:
-                ways[turn] = split_keys(now, planned(now, total, radius, sample), total, block_rows)
-            if left[turn] is not None:
-                now = now.join(left[turn], "node", "left_semi")
-            now = now.withColumn("root", F.col("node")) if found is None else now.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "fp", "more", F.coalesce("root", "node").alias("root"))
-            outs[turn] = Table(linked(probes(now, ways[turn]), ways[turn], nearest, both)).df
-            settled(spark)
-        pairs = reduce(DataFrame.union, outs.values()).where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = Table(pairs).df
-        tried.append(pairs)
-        edges.append(Table(similar_sets(rows, classes, pairs, words, similarity)).df)
-        found = components(reduce(DataFrame.union, edges))
+    prints = lambda turn: classes.select("node", F.col(f"fp{turn}").alias("fp"), (F.col(f"fp{(turn + 1) % tables}") if tables > 1 else F.lit(0).cast("long")).alias("more"))
+    ways = [planned(prints(turn), total, radius, sample) for turn in range(tables)]
+    # what is linked to a nearest neighbour that shares a whole partition comes first: large groups become one, at a cost in proportion to their size
+    sole = Plan(ways[0].parts, tuple(0 for _ in ways[0].parts), radius, {})
+    sole = split_keys(prints(0), sole, total, block_rows)
+    close = Table(linked(probes(prints(0).withColumn("root", F.col("node")), sole), sole, 1, both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), narrow=True).df
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node"))
+    first = Table(similar_pairs(sets_of(rows, classes, ends(close), words), close, similarity), narrow=True).df
+    known = components(first).withColumnRenamed("node", "_n")
+    rooted = lambda turn: prints(turn).join(known, F.col("node") == F.col("_n"), "left").select("node", "fp", "more", F.coalesce("root", "node").alias("root"))
+    candidates = []
+    for turn in range(tables):
+        ways[turn] = split_keys(prints(turn), ways[turn], total, block_rows)
+        candidates.append(Table(linked(probes(rooted(turn), ways[turn]), ways[turn], None, both), narrow=True).df)
         settled(spark)
-        left = {turn: out.where("b is null").select(F.col("a").alias("node")).distinct() for turn, out in outs.items()}
-        left = {turn: x for turn, x in left.items() if not x.isEmpty()}
-        if not left:
-            break
-    assert found is not None
-    return found
+    met = reduce(DataFrame.union, candidates)
+    families = components(met, "ra", "rb").select(F.col("node").alias("_r"), F.col("root").alias("family"))
+    touched = met.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.*").distinct()
+    members = Table(touched.join(families, F.col("root") == F.col("_r")).join(classes.select("node", "n"), "node").select("node", "root", "family", "n"), narrow=True).df
+    sets = sets_of(rows, classes, members, words)
+    dealt, units = in_blocks(members, unit_rows, unit_hashes)
+    dealt, units = Table(dealt, narrow=True).df, Table(units, narrow=True).df
+    # a family goes by units if these move fewer sets than its links one by one would
+    moved = dealt.groupBy("family").agg(F.count("*").alias("members")).join(units.groupBy(F.col("f").alias("family")).agg(F.count("*").alias("units")), "family")
+    n_links = met.join(families, F.col("ra") == F.col("_r")).groupBy("family").agg(F.sum("n").alias("links"))
+    sparse = Table(moved.join(n_links, "family").where(F.col("units") * 2 * unit_rows > F.greatest(2 * F.col("members"), F.col("links"))).select("family"), narrow=True).df
+    edges = first.union(Table(similar_in_units(dealt.join(sparse, "family", "left_anti"), units.join(sparse, units["f"] == sparse["family"], "left_anti"), sets, similarity), narrow=True).df)
+    if not sparse.isEmpty():
+        alone = Table(members.join(sparse, "family").select(F.col("node").alias("_m")), narrow=True).df
+        for turn in range(tables):
+            now = rooted(turn).join(alone, F.col("node") == F.col("_m"), "left_semi")
+            pairs = Table(linked(probes(now, ways[turn]), ways[turn], 0, both).select("a", "b"), narrow=True).df
+            edges = edges.union(Table(similar_pairs(sets, pairs, similarity), narrow=True).df)
+    settled(spark)
+    return components(edges)
 
 
 def _similar(docs: DataFrame, words: int, tables: int, **how) -> tuple[Table, list[str], DataFrame]:
-    """docs with its prints, the names of the added columns (row, class, least doc_id first), and the classes linked."""
-    names = unused(docs.columns, "row", "set", *(f"fp{i}" for i in range(tables)))
-    row, by, *fps = names
+    """docs with its prints, the names of the added columns (row and class first), and the classes linked."""
+    names = unused(docs.columns, "row", "set", "n", *(f"fp{i}" for i in range(tables)))
+    row, by, count, *fps = names
     table = Table(with_prints(docs, words, tables, names))
     worded = table.df.where(F.col(by).isNotNull())
-    classes = Table(worded.groupBy(F.col(by).alias("node")).agg(F.min(row).alias("row"), *(F.max(f).alias(f"fp{i}") for i, f in enumerate(fps)))).df
+    classes = Table(worded.groupBy(F.col(by).alias("node")).agg(F.min(row).alias("row"), F.max(count).alias("n"), *(F.max(f).alias(f"fp{i}") for i, f in enumerate(fps)))).df
     texts = table.df.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
     return table, names, similar_classes(texts, classes, words, tables=tables, **how)
 
 
 def similar_texts(
-    docs: DataFrame, words: int = 5, radius: int = 12, both: int = 30, similarity: float = 0.8, tables: int = 4, sample: int = 8192, block_rows: int = 2048, tries: tuple[int, ...] = (2, 16)
+    docs: DataFrame, words: int = 5, radius: int = 12, both: int = 30, similarity: float = 0.8, tables: int = 4, sample: int = 8192, block_rows: int = 2048, unit_rows: int = 256, unit_hashes: int = 100_000
 ) -> DataFrame:
     """doc_id, set_id and component_id of each row of docs(doc_id, text).
 
     Two rows link if the Jaccard similarity of their sets of `words`-word shingles is `similarity` or more, decided on
-    the whole sets, and if one of `tables` independent fingerprints of these sets differs in `radius` bits at most, and
-    with the next one in `both` at most. Rows of equal sets are one class; component_id is the smallest doc_id reachable,
-    itself included. Links inside a component known already add nothing, so they are tried in rounds: each class
-    against its `tries` nearest others in each key, then, of the classes with candidates left, against more, and at last
-    against all that are not yet in its component.
+    the whole sets. Candidates are pairs of which one of `tables` independent fingerprints of these sets differs in
+    `radius` bits at most, and with the next one in `both` at most: of pairs at 0.8 itself fewer than 1 in 1,000 are
+    missed. Rows of equal sets are one class; component_id is the smallest doc_id reachable, itself included.
+
+    Each class is first held against its nearest neighbours that share a whole partition of the fingerprint, so that
+    large groups become one. Classes that candidates connect with others not yet in their component form a family; its
+    members' sets meet in units, pairs of blocks of about `unit_rows` members (`unit_hashes` hashes), in which all pairs
+    of different components are decided. A family with few candidates for its size goes pair by pair instead. No
+    candidate is left out either way.
 
     A null text counts as empty; texts without words are one class, which links with no other. Rows that share a doc_id
     but not the text are linked only if their texts are. A row without doc_id stays, and does not lend its id; where no
     row of a component has one, component_id is null. Other columns are ignored; an empty table gives an empty result.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table, (_, by, *_), found = _similar(narrow, words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, tries=tries)
+    table, (_, by, *_), found = _similar(narrow, words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, unit_rows=unit_rows, unit_hashes=unit_hashes)
     prints = table.df.select("doc_id", F.coalesce(by, F.lit(0)).alias("set_id"))
     classes = prints.groupBy("set_id").agg(F.min("doc_id").alias("least"))
     return with_least(prints, "set_id", classes, found)
 
 
 def without_near_copies(
-    docs: DataFrame, words: int = 5, radius: int = 12, both: int = 30, similarity: float = 0.8, tables: int = 4, sample: int = 8192, block_rows: int = 2048, tries: tuple[int, ...] = (2, 16)
+    docs: DataFrame, words: int = 5, radius: int = 12, both: int = 30, similarity: float = 0.8, tables: int = 4, sample: int = 8192, block_rows: int = 2048, unit_rows: int = 256, unit_hashes: int = 100_000
 ) -> DataFrame:
     """One row of each group of near copies (see similar_texts), as it stands: the one with the smallest doc_id.
 
@@ -462,7 +535,7 @@ def without_near_copies(
     stays. Texts without words are one group. Rows that share a doc_id and do not resemble each other all stay. Any
     columns, whatever their names, are kept.
     """
-    table, (row, by, *_), found = _similar(docs, words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, tries=tries)
+    table, (row, by, *_), found = _similar(docs, words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, unit_rows=unit_rows, unit_hashes=unit_hashes)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col(row))
     narrow = table.df.select(F.coalesce(by, F.lit(0)).alias("node"), order.alias("order"))
     best = Table(narrow.groupBy("node").agg(F.min("order").alias("order"))).df

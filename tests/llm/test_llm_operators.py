@@ -129,19 +129,19 @@ def test_pigeonhole_loses_no_pair(spark, radius):
     plan = simhash_dedup.split_keys(df, plan, len(fps), 3)
     assert max(plan.blocks.values()) > 1  # keys of many rows are split
     links = [(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= radius]
-    edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(df, plan), plan, nearest=1000).collect()]
+    edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(df, plan), plan, nearest=0).select("a", "b").collect()]
     assert set(edges) == set(links)
-    some = simhash_dedup.linked(simhash_dedup.probes(df, plan), plan, nearest=1).collect()
-    more = {r["a"] for r in some if r["b"] is None}
-    taken = {tuple(sorted(r)) for r in some if r["b"] is not None}
-    assert taken <= set(links) and all({a, b} <= more for a, b in set(links) - taken)  # what one round leaves, the next can try
+    some = {tuple(sorted(r)) for r in simhash_dedup.linked(simhash_dedup.probes(df, plan), plan, nearest=1).select("a", "b").collect()}
+    assert some <= set(links) and {x for p in some for x in p} == {x for p in links for x in p}
     grouped = df.withColumn("root", F.col("node") % 2)
-    edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(grouped, plan), plan, nearest=1000).collect()]
+    edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(grouped, plan), plan, nearest=0).select("a", "b").collect()]
     assert set(edges) == {(a, b) for a, b in links if a % 2 != b % 2}
-    star = [tuple(e) for e in simhash_dedup.linked(simhash_dedup.probes(df, plan), plan).collect()]
+    stars = simhash_dedup.linked(simhash_dedup.probes(df, plan), plan).collect()
+    star = [(r["a"], r["b"]) for r in stars]
+    assert sum(r["n"] for r in stars) >= len(links)
     assert components_of(len(fps), star) == components_of(len(fps), links)
     apart = df.withColumn("more", F.col("node") % 2)  # the second fingerprint counts too
-    edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(apart, plan), plan, nearest=1000, both=radius).collect()]
+    edges = [tuple(sorted(e)) for e in simhash_dedup.linked(simhash_dedup.probes(apart, plan), plan, nearest=0, both=radius).select("a", "b").collect()]
     assert set(edges) == {(a, b) for a, b in links if (fps[a] ^ fps[b]).bit_count() + (a % 2 != b % 2) <= radius}
 
 
@@ -165,8 +165,8 @@ def test_similarity_decides(spark):
     assert got == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
 
 
-@pytest.mark.parametrize(("tables", "tries"), [(1, (1,)), (3, (1, 2)), (2, (4, 32))])
-def test_similar_texts_lose_no_link(spark, tables, tries):
+@pytest.mark.parametrize(("tables", "unit_rows"), [(4, 8), (2, 256)])
+def test_similar_texts_lose_no_link(spark, tables, unit_rows):
     """Large groups of near copies, pairs beyond the similarity, shared boilerplate and odd rows against all pairs."""
     boiler = " ".join(f"b{i}" for i in range(150))
     rows = [(0, None), (1, ""), (2, "..."), (3, "..."), (None, "..."), (4, boiler)]
@@ -184,22 +184,35 @@ def test_similar_texts_lose_no_link(spark, tables, tries):
 
     def near(i, j):
         d = [(x ^ y).bit_count() for x, y in zip(fps[i], fps[j], strict=True)]
-        return any(d[t] <= 12 and (tables == 1 or d[t] + d[(t + 1) % tables] <= 30) for t in range(tables))
+        return any(d[t] <= 12 and d[t] + d[(t + 1) % tables] <= 30 for t in range(tables))
 
-    links = [
-        (i, j) for i, j in combinations(range(len(rows)), 2)
-        if sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and near(i, j))
-    ]
+    links = [(i, j) for i, j in combinations(range(len(rows)), 2) if sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    must = [(i, j) for i, j in links if sets[i] == sets[j] or near(i, j)]
+    assert len(must) > 100 and len(must) >= 0.97 * len(links)
     root = components_of(len(rows), links)
+    assert root == components_of(len(rows), must)  # so the result is certain
     least = {}
     for r, c in zip(rows, root, strict=True):
         least[c] = min([x for x in (least.get(c), r[0]) if x is not None], default=None)
     df = spark.createDataFrame([(*r, "other") for r in rows], "doc_id long, text string, component_id string")
-    got = simhash_dedup.similar_texts(df, tables=tables, tries=tries, block_rows=16).select("doc_id", "component_id").collect()
+    got = simhash_dedup.similar_texts(df, tables=tables, unit_rows=unit_rows, block_rows=16).select("doc_id", "component_id").collect()
     assert Counter(map(tuple, got)) == Counter((r[0], least[c]) for r, c in zip(rows, root, strict=True))
     assert simhash_dedup.similar_texts(df.limit(0)).count() == 0
 
 
+def test_units_hold_each_pair_of_components_once(spark):
+    members = [(i, 0 if i < 40 else 1 if i < 60 else i, i // 200, 10) for i in range(300)]
+    dealt, units = simhash_dedup.in_blocks(spark.createDataFrame(members, "node long, root long, family long, n long"), 16, 1000)
+    where = {r["node"]: (r["family"], r["key"], r["block"]) for r in dealt.collect()}
+    pairs = [((r["f"], r["k1"], r["b1"]), (r["f"], r["k2"], r["b2"])) for r in units.collect()]
+    assert len(pairs) == len(set(pairs))
+    known = {frozenset(p) for p in pairs}
+    for a, b in combinations(members, 2):
+        apart = a[1] != b[1] and a[2] == b[2]
+        assert not apart or frozenset((where[a[0]], where[b[0]])) in known
+    assert max(Counter(where.values()).values()) < 45 and not any(x != y and x[1] == y[1] != -1 for x, y in pairs)
+
+
 def test_licenses(spark, docs, rows):
     got = license_scan.scan(docs).collect()
     want = Counter()
