@@ -468,7 +468,7 @@ def similar_classes(rows: DataFrame, classes: DataFrame, words: int, radius: int
         settled(spark)
     met = reduce(DataFrame.union, candidates)
     families = components(met, "ra", "rb").select(F.col("node").alias("_r"), F.col("root").alias("family"))
-    touched = met.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.*").distinct()
+    touched = met.select(F.col("a").alias("node"), F.col("ra").alias("root")).union(met.select("b", "rb")).distinct()
     members = Table(touched.join(families, F.col("root") == F.col("_r")).join(classes.select("node", "n"), "node").select("node", "root", "family", "n"), narrow=True).df
     sets = sets_of(rows, classes, members, words)
     dealt, units = in_blocks(members, unit_rows, unit_hashes)
