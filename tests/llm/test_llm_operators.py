@@ -496,18 +496,24 @@ def test_scores(spark, docs, rows):
     assert lm_score.score(docs.limit(0), held, steps=2).count() == 0
 
 
+def small_net(seqs, size, **options):
+    counts = np.bincount(np.concatenate(seqs), minlength=size).astype(float)
+    cls, lowest = lm_score.id_classes(counts, size)
+    none = np.zeros(0, np.int64)
+    return lm_score.fit(seqs, cls, lm_score.class_after(cls, counts, none, none, none, counts), **options), lowest
+
+
 def test_attention_learns_and_is_causal():
     rng = np.random.default_rng(0)
     step = [(np.arange(60) * k + rng.integers(0, 12)) % 12 for k in rng.integers(1, 2, 60)]
     seqs = [np.append(s, 12).astype(np.int32) for s in step]
-    counts = np.bincount(np.concatenate(seqs), minlength=13).astype(float)
-    net = lm_score.fit(seqs, counts, classes=13, steps=400, context=4, stride=8)
-    unigram = sum(math.log10(counts[i] / counts.sum()) for i in seqs[0])
-    assert net.log10(seqs[:1], 12)[0] > 0.5 * unigram
-    whole, parts = net.log10(seqs, 12), np.concatenate([net.log10([s], 12, rows=3) for s in seqs])
-    assert np.allclose(whole, parts, rtol=1e-4)
+    net, _ = small_net(seqs, 13, steps=400, context=4, stride=8)
+    counts = np.bincount(np.concatenate(seqs))
+    assert net.logs(seqs[:1], 12).sum() > 0.5 * sum(math.log(counts[i] / counts.sum()) for i in seqs[0])
+    whole, parts = net.logs(seqs, 12), np.concatenate([net.logs([s], 12, rows=3) for s in seqs])
+    assert np.allclose(whole, parts, atol=1e-4) and len(whole) == sum(map(len, seqs))
     inputs, targets, _ = net.windows(seqs, 12)
-    assert sorted(targets[targets >= 0].tolist()) == sorted(np.concatenate(seqs).tolist())
+    assert targets[targets >= 0].tolist() == np.concatenate(seqs).tolist()
     z = net.forward(inputs[:1])
     assert np.allclose(net.forward(inputs), net.forward(inputs, keep=True)[-1], atol=1e-4)
     changed = inputs[:1].copy()
@@ -515,6 +521,66 @@ def test_attention_learns_and_is_causal():
     assert np.allclose(z[0, :-1], net.forward(changed)[0, :-1])
 
 
+def test_forward_pass_by_hand():
+    """Each id's probability, computed for one place at a time from the parameters."""
+    rng = np.random.default_rng(1)
+    seqs = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 7, 23)]
+    net, _ = small_net(seqs, 10, steps=20, context=3, stride=4, width=6)
+    p = net.params
+    want = []
+    for s in seqs:
+        for t in range(len(s)):
+            first = t // 4 * 4 - 3  # of its window
+            seen = [(10 if j == 0 else int(s[j - 1]), j - first) for j in range(max(first, 0), t + 1)]
+            x = [p["embed"][i] + p["place"][j] for i, j in seen]
+            keys, values = zip(*[np.split(v @ p["kv"], 2) for v in x], strict=True)
+            a = np.exp(np.clip([float(x[-1] @ p["q"] @ k) for k in keys], -30, 30))
+            y = x[-1] + sum(w * v for w, v in zip(a / a.sum(), values, strict=True))
+            y = np.maximum(y @ p["mix"], 0) + y
+            z = np.clip(y @ p["out"] + p["bias"] + net.after[seen[-1][0]], -40, 40)
+            want.append(z[net.of_class[s[t]]] - np.log(np.exp(z).sum()))
+    assert np.allclose(net.logs(seqs, 9), want, atol=1e-4)
+
+
+def test_shares_within_a_class_sum_to_one():
+    rng = np.random.default_rng(2)
+    words = [rng.integers(0, 30, rng.integers(1, 12)) for _ in range(300)]
+    flat, sizes = np.concatenate(words), np.array([len(w) for w in words])
+    cls, lowest = lm_score.id_classes(np.bincount(flat, minlength=30).astype(float), 4)
+    pairs = [(k, i) for keys in lm_score.prefix_keys(flat, sizes) for k, i in zip(keys.tolist(), flat.tolist(), strict=True) if k]
+    counted = Counter(pairs)
+    shares = lm_score.Shares.of(cls, lowest, np.array([k for k, _ in counted], np.uint64), np.array([i for _, i in counted]), np.array([*counted.values()], float))
+    for prefix in (words[0][:3], words[1][:1], np.array([], int), rng.integers(0, 30, 9)):
+        each = [np.append(prefix, i) for i in range(30)]
+        last = shares.logs(np.concatenate(each), np.full(30, len(prefix) + 1))[len(prefix) :: len(prefix) + 1]
+        assert np.allclose([np.exp(last[cls == c]).sum() for c in range(cls.max() + 1)], 1)
+
+
+def test_places_looked_up(spark):
+    """What the corpus says at places chosen by the words before: of a text that occurs twice, and against a plain count."""
+    texts = [" ".join(f"w{i}" for i in RNG.integers(0, 3000, 400)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:4], texts[0]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") == 13
+    got = {r["doc_id"]: r for r in lm_score.score(df, held, steps=20).collect()}
+    assert min(got[i]["score"] for i in (0, 1, 2, 3, 13)) > max(got[i]["score"] for i in range(4, 12)) + 20  # in decades
+    split = {i: [*lm_score.words_of(t.encode()), b""] for i, t in rows}
+    seen = {}
+    for i, words in split.items():
+        for k in range(3, len(words)):
+            if i != 13:
+                seen.setdefault(tuple(words[k - 3 : k]), Counter())[words[k]] += 1
+    corpus = {(r["ctx"], r["nxt"]): r["n"] for r in lm_score.corpus_counts(df.where(~held)).where("word is null").collect()}
+    chosen = 0
+    for words, follow in seen.items():
+        at, key = lm_score.anchors(np.array([lm_score.word_hash(w) for w in (*words, b"x")], np.uint64), np.zeros(4, int))
+        for w, n in follow.items():
+            if len(at):
+                chosen += 1
+                assert corpus[int(key[0]), int(np.array(lm_score.word_hash(w), np.uint64).view(np.int64))] == n
+    assert chosen == len(corpus) > 50
+
+
 def test_words_are_parted_alike_together_and_alone():
     subwords = lm_score.Subwords(open(lm_score.RANKS_PATH, "rb").read())
     words = [w.encode() for w in [*EN, *FR, "_x", "a_b", "don't", "1,234.5", "😀é", "日本", "--", "x" * 50, "__"]]
