@@ -12,18 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import expanded, small_batches, texts_of
+from quarry.llm.common import expanded, lean, small_batches, texts_of
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁".encode()
-#: Distinct words that a task remembers.
-REMEMBERED = 300_000
+#: Distinct words that a task remembers, and their bytes.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 1 << 24
+#: Words of more bytes are cut where no piece reaches over; starts in a long word that are followed at once.
+LONG, STARTS = 512, 1 << 18
 # Kinds of pieces in the model file, fixed by its format.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
+# The type of a model without one of its own; field 3 of field 2 has it.
+UNIGRAM = 1
 
 
-def read_pieces(raw: bytes) -> list[tuple[bytes, float, int]]:
-    """(piece, score, kind) by id, from the bytes of a SentencePiece model file (a protocol buffer; field 1 repeats)."""
+def read_pieces(raw: bytes) -> tuple[list[tuple[bytes, float, int]], int]:
+    """(piece, score, kind) by id, and the model's type, from the bytes of a SentencePiece model file (a protocol buffer; field
+    1 repeats)."""
 
     def varint(b: bytes, i: int) -> tuple[int, int]:
         out = shift = 0
@@ -44,20 +49,21 @@ def read_pieces(raw: bytes) -> list[tuple[bytes, float, int]]:
                 value, i = b[i : i + n], i + n
             yield tag >> 3, value
 
-    out = []
+    out, model_type = [], UNIGRAM
     for number, value in fields(raw):
-        if number == 1:
+        if number == 2:
+            model_type = dict(fields(value)).get(3, UNIGRAM)
+        elif number == 1:
             piece = dict(fields(value))
             out.append((piece.get(1, b""), struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0, piece.get(3, NORMAL)))
-    return out
+    return out, model_type
 
 
-def log_scores(pieces: list[tuple[bytes, float, int]]) -> np.ndarray:
-    """Log scores by Zipf's rule from a file whose scores are negated ranks: -ln(2 + rank). Files with log
-    probabilities (all above -100) keep theirs."""
+def log_scores(pieces: list[tuple[bytes, float, int]], model_type: int) -> np.ndarray:
+    """Log scores: as they stand in a unigram model, by Zipf's rule, -ln(2 + rank), in one of byte pairs, whose scores are negated
+    ranks."""
     raw = np.array([s for _, s, _ in pieces])
-    normal = np.array([k in (NORMAL, USER) for _, _, k in pieces])
-    return -np.log(2 + np.maximum(0, -raw)) if normal.any() and raw[normal].min() < -100 else raw
+    return raw if model_type == UNIGRAM else -np.log(2 + np.maximum(0, -raw))
 
 
 @dataclass
@@ -124,12 +130,13 @@ class Codec:
     control: frozenset[int]
     fallback: float
     _memory: dict[bytes, int] = field(default_factory=dict)
+    _held: int = 0
 
     @classmethod
     def load(cls, path: str = MODEL_PATH) -> Codec:
         with open(path, "rb") as f:
-            found = read_pieces(f.read())
-        scores = log_scores(found)
+            found, model_type = read_pieces(f.read())
+        scores = log_scores(found, model_type)
         entries = {p: i for i, (p, _, k) in enumerate(found) if k in (NORMAL, USER) and p}
         bytes_at = np.full(256, next((i for i, x in enumerate(found) if x[2] == UNKNOWN), 0), np.int32)
         pieces = []
@@ -152,8 +159,8 @@ class Codec:
 
         Of equally good ways the one found first stays: the longer last piece loses against the earlier start.
         """
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        ids: list[np.ndarray] = [self._long(w) if len(w) > LONG else np.zeros(0, np.int32) for w in words]
+        order = sorted((i for i, w in enumerate(words) if len(w) <= LONG), key=lambda i: len(words[i]))
         s = 0
         while s < len(order):
             e = s + 1
@@ -165,6 +172,85 @@ class Codec:
             s = e
         return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
 
+    def _matches(self, text: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all pieces that start at lo..hi-1 of a text, by start and then end."""
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        at, node, k = np.arange(lo, hi), np.zeros(hi - lo, np.int32), 0
+        starts, ends, pieces = [], [], []
+        while len(at):
+            at, node = at[at + k < len(text)], node[at + k < len(text)]
+            t = base[node] + text[at + k] + 1
+            ok = check[t] == node
+            at, node, k = at[ok], t[ok], k + 1
+            end = np.flatnonzero(value[node] >= 0)
+            starts.append(at[end])
+            ends.append(at[end] + k)
+            pieces.append(value[node[end]])
+        start, stop, piece = map(np.concatenate, (starts, ends, pieces))
+        order = np.lexsort((stop, start))
+        return start[order], stop[order], piece[order]
+
+    def _long(self, word: bytes) -> np.ndarray:
+        """Best piece ids of a long word, cut where no piece reaches over: the ways before and after such a place are independent.
+
+        Short parts advance together as words do; a part without such a place is worked through byte by byte, in time in
+        proportion to the pieces that it holds.
+        """
+        text = np.frombuffer(word, np.uint8)
+        first = (text & 0xC0) != 0x80
+        reach, out, begin = 0, [], 0
+        parts: list[bytes] = []
+        for lo in range(0, len(text), STARTS):
+            hi = min(len(text), lo + STARTS)
+            start, stop, _ = self._matches(text, lo, hi)
+            over = np.arange(lo, hi) + 1
+            np.maximum.at(over, start - lo, stop)
+            before = np.maximum.accumulate(np.concatenate([[reach], over]))  # how far pieces reach that start before each place
+            cuts = lo + np.flatnonzero((before[:-1] <= np.arange(lo, hi)) & first[lo:hi])
+            reach = int(before[-1])
+            for c in cuts.tolist():
+                if c > begin:
+                    parts.append(word[begin:c])
+                    begin = c
+        parts.append(word[begin:])
+        short = [p for p in parts if len(p) <= LONG]
+        flat, counts = self.segment(short)
+        ready = iter(np.split(flat, np.cumsum(counts)[:-1]) if short else [])
+        for p in parts:
+            out.append(next(ready) if len(p) <= LONG else self._bytewise(p))
+        return np.concatenate(out)
+
+    def _bytewise(self, word: bytes) -> np.ndarray:
+        """Best piece ids of one word, place by place; only what the longest piece reaches over is held besides back pointers."""
+        text, size = np.frombuffer(word, np.uint8), len(word)
+        best, back, kind = np.full(size + 1, -np.inf).tolist(), [0] * (size + 1), [-1] * (size + 1)
+        best[0] = 0.0
+        for lo in range(0, size, STARTS):
+            hi = min(size, lo + STARTS)
+            start, stop, piece = self._matches(text, lo, hi)
+            first = np.searchsorted(start, np.arange(lo, hi + 1)).tolist()
+            stop, piece, score = stop.tolist(), piece.tolist(), self.scores[piece].tolist()
+            for s in range(lo, hi):
+                now = best[s]
+                if now == -np.inf:
+                    continue
+                lead = word[s]
+                alone = min(s + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), size)
+                for m in range(first[s - lo], first[s - lo + 1]):
+                    e = stop[m]
+                    if e == alone:
+                        alone = 0
+                    if now + score[m] > best[e]:
+                        best[e], back[e], kind[e] = now + score[m], s, piece[m]
+                if alone and now + self.fallback > best[alone]:
+                    best[alone], back[alone], kind[alone] = now + self.fallback, s, -1
+        ids, e = [], size
+        while e:
+            s = back[e]
+            ids += [kind[e]] if kind[e] >= 0 else self.bytes_at[text[s:e][::-1]].tolist()
+            e = s
+        return np.array(ids[::-1], np.int32)
+
     def _lockstep(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         size = np.array([len(w) for w in words])
@@ -241,15 +327,17 @@ class Codec:
             split.append(out)
         memory = self._memory
         new = list({w: None for words in split for w in words if w not in memory})
-        if len(memory) + len(new) > REMEMBERED:
+        if len(memory) + len(new) > REMEMBERED or self._held + sum(map(len, new)) > REMEMBERED_BYTES:
             memory.clear()
             new = list({w: None for words in split for w in words})
         if not memory:
+            self._held = 0
             self._flat, self._at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         if new:
             flat, counts = self.segment(new)
             for w in new:
                 memory[w] = len(memory)
+            self._held += sum(map(len, new))
             self._flat = np.concatenate([self._flat, flat])
             self._at = np.concatenate([self._at, self._at[-1] + np.cumsum(counts)])
         out = []
@@ -321,7 +409,7 @@ def _with_columns(docs: DataFrame, steps: list) -> DataFrame:
                 made[target] = of(made[source])
             yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
-    return docs.select(*[f.name for f in kept]).mapInArrow(run, T.StructType([*kept, *(T.StructField(target, kind) for _, target, kind, _ in steps)]))
+    return docs.select(*[f.name for f in kept]).mapInArrow(lean(run), T.StructType([*kept, *(T.StructField(target, kind) for _, target, kind, _ in steps)]))
 
 
 def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
