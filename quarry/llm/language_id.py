@@ -9,9 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import small_batches, texts_of
+from quarry.llm.common import lean, small_batches, texts_of, unused
 
 UND = "und"
 #: Texts are worked on in runs of about so many bytes.
@@ -114,19 +116,34 @@ def fit(texts: list[bytes], langs: list[str], buckets: int = 1 << 15, width: int
     return Model(labels, table, bias, temperature, float(min(0.5, np.quantile(top, reject))))
 
 
+def examples(docs: DataFrame, learn: Column, sample: int, least: int = 200) -> pd.DataFrame:
+    """text and lang of at most about `sample` different labelled texts for which `learn` holds: of each language its share of
+    the different texts, or `least` if it has so many (or sample / 4 in all are fewer); the first by a hash of the text.
+
+    Equal texts are chosen together and become one before any reaches the driver. Languages are counted by sketches.
+    """
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()}
+    total = sum(sizes.values())
+    floor = min(least, sample // (4 * max(1, len(sizes))))
+    quota = {lang: max(floor, round(sample * n / total)) for lang, n in sizes.items()}
+    plan = [(lang, quota[lang], int(min(1.0, 1.2 * quota[lang] / max(1, sizes[lang])) * 1_000_000)) for lang in sorted(sizes)]
+    wanted = docs.sparkSession.createDataFrame(plan, "q_lang string, quota int, keep int")
+    chosen = rows.join(F.broadcast(wanted), F.col("lang") == F.col("q_lang")).where(F.pmod("hash", F.lit(1_000_000)) < F.col("keep"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(3)), "text"))
+    out = chosen.select("text", "lang", "quota").distinct().withColumn("nth", nth).where("nth <= quota")
+    return out.select("text", "lang").toPandas().sort_values(["text", "lang"])
+
+
 def train(docs: DataFrame, learn: Column, sample: int = 6000, **options) -> Model | None:
-    """The model of whole texts of at most about `sample` labelled rows for which `learn` holds, chosen by a hash of the text.
+    """The model of whole texts of at most about `sample` labelled rows for which `learn` holds (see examples).
 
     None if no row has a text and a language.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
-    keep = int(min(1.0, sample / max(total, 1)) * 1_000_000)
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < keep).select(F.col("text").cast("string"), F.col("lang").cast("string")).toPandas()
-    some = some.sort_values(["text", "lang"])
+    some = examples(docs, learn, sample)
     if not len(some):
         return None
-    some = some.drop_duplicates()
     order = np.random.default_rng(1).permutation(len(some))
     return fit([some["text"].iloc[i].encode() for i in order], [some["lang"].iloc[i] for i in order], **options)
 
@@ -136,15 +153,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     A text that is null or has no letter is `und` with score 0 and not accepted; so is each text if there is no model.
     accepted: the score reaches the model's calibrated least score. Texts are read whole, whatever their length;
-    equal texts get equal results. Columns of these names that docs has already are replaced.
+    equal texts, and rows that repeat, get equal results. Columns of these three names that docs has already are
+    replaced; no other name clashes.
     """
     small_batches(docs.sparkSession)
-    kinds = [(f.name, f) for f in docs.schema.fields if f.name not in ("lang_pred", "score", "accepted")]
-    names = [k for k, _ in kinds]
+    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "accepted")]
+    names = [f.name for f in fields]
+    text_name, letters = unused(docs.columns, "text", "letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, known = texts_of(batch.column("_text")), np.array(batch.column("_letters").to_pylist(), bool)
+            texts, known = texts_of(batch.column(text_name)), np.array(batch.column(letters).to_pylist(), bool)
             scores = np.zeros((len(texts), len(model.labels) if model else 1))
             if model:
                 size = np.cumsum([len(t) + 2 for t in texts])
@@ -155,14 +174,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             best = scores.argmax(1)
             top = np.where(known, scores[np.arange(len(texts)), best], 0.0) if len(texts) else np.zeros(0)
             labels = [model.labels[b] if k else UND for b, k in zip(best.tolist(), known.tolist(), strict=True)] if model else [UND] * len(texts)
-            fields = [batch.column(n) for n in names] + [pa.array(labels, pa.string()), pa.array(top, pa.float64()), pa.array(known & (top >= (model.least if model else 0)), pa.bool_())]
-            yield pa.RecordBatch.from_arrays(fields, names=[*names, "lang_pred", "score", "accepted"])
-
-    from pyspark.sql import types as T
+            made = [pa.array(labels, pa.string()), pa.array(top, pa.float64()), pa.array(known & (top >= (model.least if model else 0)), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *made], names=[*names, "lang_pred", "score", "accepted"])
 
     text = F.col("text").cast("string")
-    schema = T.StructType([f for _, f in kinds] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    return docs.select(*names, text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters")).mapInArrow(run, schema)
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+    return docs.select(*names, text.alias(text_name), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(letters)).mapInArrow(lean(run), schema)
 
 
 def held_out(remainder: int, modulus: int) -> Column:
