@@ -12,6 +12,8 @@ from quarry.llm.common import Table
 
 #: Places on the ring, and parts of a place among which rows with one key are dealt.
 PLACES, PARTS = 1024, 64
+#: Equal rows that one task numbers.
+RUN = 100_000
 
 
 def ring(shards: int, virtual: int) -> list[list[int]]:
@@ -63,15 +65,21 @@ def assign(docs: DataFrame, shards: int = 40, virtual: int = 64) -> DataFrame:
     Only counts of the ring's PLACES x PARTS cells reach the driver, and only the plan made of them, of about as many
     rows, is sent to each task. Rows that share a doc_id, however many, are spread over PARTS cells. slot runs from 0
     without gaps in each shard. A null text has 0 bytes; a null doc_id is a key like any other; repeated rows are rows
-    of their own. Ties in the hash are broken by the order of input. Other columns are ignored.
+    of their own, counted and numbered, so that the result does not depend on the order of input. Ties in the hash are
+    broken by doc_id, text and number. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = Table(docs.select(F.monotonically_increasing_id().alias("seq"), "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))).df
-    key = F.xxhash64("doc_id")
-    rows = rows.withColumn("cell", (F.pmod(key, F.lit(PLACES)) * PARTS + F.pmod(F.xxhash64("seq", "doc_id"), F.lit(PARTS))).cast("int"))
+    key, same = F.xxhash64("doc_id"), ["doc_id", "size", "text_crc32", "content"]
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("content"))
+    # equal rows are counted, then numbered in runs, so that no task numbers all of a large group
+    runs = rows.groupBy(*same).agg(F.count("*").alias("n")).select(*same, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("run"))
+    first = F.col("run") * RUN
+    long = runs.where(f"n > {RUN}").repartition(*same, "run").union(runs.where(f"n <= {RUN}"))
+    rows = long.select(*same, F.explode(F.sequence(first, F.least(first + RUN, F.col("n")) - 1)).alias("nth"))
+    rows = Table(rows.withColumn("cell", (F.pmod(key, F.lit(PLACES)) * PARTS + F.pmod(F.xxhash64("content", "nth", "doc_id"), F.lit(PARTS))).cast("int"))).df
     counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
     kinds = "p_cell int, lo long, hi long, shard int, slot long"
     plan = docs.sparkSession.createDataFrame(deal(counts, shards, virtual), kinds)
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("cell").orderBy(key, "seq")) - 1)
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("cell").orderBy(key, *same, "nth")) - 1)
     placed = ranked.join(F.broadcast(plan), (F.col("cell") == F.col("p_cell")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
