@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Table, components, expanded, sorted_chunks
+from quarry.llm.common import Table, components, lean, sorted_chunks
 from quarry.llm.simhash_dedup import local_star
 
 
@@ -40,8 +40,8 @@ def near_duplicates(
     """id, n_links, component_id and kept of each vector.
 
     Vectors link if their labels are equal and not null and their cosine, in double precision, is `threshold` or more.
-    Spherical k-means, fitted on at most about `sample` vectors, gives each vector a home cell, so that cells hold about
-    `cell_rows`. A vector also visits each later cell j where a linked vector could live: if y lives in j and
+    Spherical k-means, fitted on at most `sample` vectors, gives each vector a home cell, so that the cells of the most
+    frequent label hold about `cell_rows`. A vector also visits each later cell j where a linked vector could live: if y lives in j and
     |x - y| <= sqrt(2 - 2 threshold), then x.(c_i - c_j) <= sqrt(2 - 2 threshold) |c_i - c_j| for each centroid i. So no
     link is lost at margin 1; a smaller margin visits fewer cells. Cells are compared in blocks of `block_rows` rows.
     Of a block's links only counts and the edges that connect its rows leave the task.
@@ -53,13 +53,14 @@ def near_duplicates(
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
     sound = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     valid = base.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & F.coalesce(sound, F.lit(False)))
-    total = valid.count()
-    keep = int(min(1.0, sample / max(total, 1)) * 1_000_000)
-    some = valid.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < keep).select("id", "vec").toPandas().sort_values("id")
+    total, most = valid.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    keep = int(min(1.0, 2 * sample / max(total, 1)) * 1_000_000)
+    mixed = F.xxhash64("vec", F.lit(5))  # equal vectors, however many, are one
+    some = valid.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < keep).select("vec").distinct().withColumn("mixed", mixed).orderBy("mixed").limit(sample).toPandas()
     dims = some["vec"].map(len)
     dim = int(dims.mode().iloc[0]) if len(some) else 0
     fitted = some["vec"][dims == dim].tolist()
-    k = max(1, min(most_cells, -(-total // cell_rows), len(fitted)))
+    k = max(1, min(most_cells, -(-most // cell_rows), len(fitted)))
     centroids = spherical_kmeans(unit_rows(fitted), k, rounds) if fitted else np.zeros((0, 0))
     reach = margin * np.sqrt(2 - 2 * threshold)
     placed_schema = pa.schema([("label", pa.string()), ("cell", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()), ("unit", pa.binary())])
@@ -76,10 +77,14 @@ def near_duplicates(
                     if size == dim:
                         sim = x @ centroids.T
                         home = np.argmax(sim, 1)
-                        visit = np.arange(k)[None, :] > home[:, None]
-                        for i in range(k):  # a visit must be possible against each other centroid i
-                            visit &= sim[:, i : i + 1] - sim <= reach * apart[i][None, :] + 1e-9
-                        guest, cell = np.nonzero(visit)
+                        # a visit must be possible against the home's centroid, and then against each other one
+                        own = sim[np.arange(len(x)), home][:, None]
+                        guest, cell = np.nonzero((np.arange(k)[None, :] > home[:, None]) & (own - sim <= reach * apart[home] + 1e-9))
+                        for t in range(0, len(guest), 4096):
+                            g, c = guest[t : t + 4096], cell[t : t + 4096]
+                            possible = (sim[g] - sim[g, c][:, None] <= reach * apart[c] + 1e-9).all(1)
+                            cell[t : t + 4096][~possible] = -1
+                        guest, cell = guest[cell >= 0], cell[cell >= 0]
                     else:  # another length: one cell of its own
                         home, guest, cell = np.full(len(rows), -1 - size), np.zeros(0, int), np.zeros(0, int)
                     who = np.concatenate([np.arange(len(rows)), guest])
@@ -91,7 +96,7 @@ def near_duplicates(
                         )
 
     narrow = valid.withColumn("label", F.col("label").cast("string"))
-    placed = narrow.mapInArrow(place, "label string, cell int, home boolean, id long, unit binary")
+    placed = narrow.mapInArrow(lean(place), "label string, cell int, home boolean, id long, unit binary")
     sizes = placed.groupBy("label", "cell", "home").count().groupBy("label", "cell").agg(
         F.sum(F.when(F.col("home"), F.col("count")).otherwise(0)).alias("homes"), F.sum(F.when(~F.col("home"), F.col("count")).otherwise(0)).alias("guests")
     )
@@ -129,7 +134,7 @@ def near_duplicates(
                     schema=schema,
                 )
 
-    found = Table(dealt.mapInArrow(compare, "a long, b long, n long"))
+    found = Table(dealt.mapInArrow(lean(compare), "a long, b long, n long"))
     counts = found.df.where("b is null").groupBy(F.col("a").alias("_n_id")).agg(F.sum("n").alias("n"))
     comps = components(found.df.where("b is not null").select("a", "b"))
     ids = base.select("id")
