@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, texts_of
+from quarry.llm.common import lean, small_batches, texts_of
 
 #: A word is a run of ASCII letters, digits or non-ASCII characters, in lower case.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -132,14 +132,14 @@ class Items:
     shingle: int
     least: float
     words: list[np.ndarray]
-    ids: list[int]
+    ids: list[int | None]
     sizes: dict[int, list[int]]
     prints: dict[int, np.ndarray]
     near: dict[int, np.ndarray]
     votes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, bytes]], radius: int, step: int, shingle: int, least: float) -> Items:
+    def of(cls, rows: list[tuple[int | None, bytes]], radius: int, step: int, shingle: int, least: float) -> Items:
         words, ids, sizes = [], [], {}
         hashes = WordHashes()
         for item, text in rows:
@@ -278,7 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
                 cols = list(zip(*found, strict=True)) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in cols[0]], pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols[1:], list(schema)[1:], strict=True))], schema=schema)
 
-        out = out.union(texts.mapInArrow(run, kinds))
+        out = out.union(texts.mapInArrow(lean(run), kinds))
     return out
 
 
@@ -302,7 +302,11 @@ def matches(items: Items, cache: WordHashes, stream: list[tuple[int, list[bytes]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 6, step: int = 4, block_items: int = 2048) -> DataFrame:
-    """The rows of docs whose text holds no benchmark item; texts are held against the items in place, nothing is shuffled."""
+    """The rows of docs whose text holds no benchmark item (see contaminated), as they stand, repeated ones too.
+
+    A null or empty text holds none. Texts are held against the items in place, nothing is shuffled; any columns,
+    whatever their names, are kept.
+    """
     small_batches(docs.sparkSession)
     out = docs
     for items in item_blocks(benchmark, similarity, shingle, radius, step, block_items):
@@ -313,7 +317,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, shingl
                 hit = {i for i, *_ in found_in(items, cache, texts_of(batch.column("text")))}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out
 
 
@@ -323,7 +327,7 @@ def item_blocks(benchmark: DataFrame, similarity: float, shingle: int, radius: i
     n_blocks = max(1, -(-named.count() // block_items))
     for block in range(n_blocks):
         rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        items = Items.of(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"].encode()) for r in rows.toLocalIterator()), radius, step, shingle, similarity)
+        items = Items.of(sorted(((r["item_id"], r["text"].encode()) for r in rows.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), radius, step, shingle, similarity)
         if items.ids:
             yield items
 
