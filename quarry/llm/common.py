@@ -35,9 +35,9 @@ class Table:
     """A DataFrame written once to the shared folder and read back, so that its lineage ends here."""
 
     def __init__(self, df: DataFrame, narrow: bool = False):
-        """narrow: rows of a few numbers, which fill no more files than there are cores to write them."""
+        """narrow: rows of a few numbers, which need no more files than there are cores to write them."""
         self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-        (df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if narrow else df).write.parquet(self.path)
+        (df.coalesce(df.sparkSession.sparkContext.defaultParallelism) if narrow else df).write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -133,16 +133,21 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = 1_000_000) -> DataFrame:
     """(node, root): the smallest node reachable from each node of an edge list of longs.
 
-    Each task first connects what its own edges connect; then large-star and small-star rounds alternate until no edge
-    changes, and each round's edges are a table in the shared folder. Hubs are safe: minima are pre-aggregated map-side,
+    Each task first connects what its own edges connect. If no more than `few` edges (16 bytes each) are left, one task
+    connects them; else large-star and small-star rounds alternate until no edge changes, and each round's edges are a
+    table in the shared folder. The result is the same. Hubs are safe: minima are pre-aggregated map-side,
     and a second grouping column makes the planner exchange both sides of the join anew, so that adaptive execution can
     split a hub's partition. Null ends and loops are left out.
     """
     both_ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi != lo")
     now = Table(both_ends.mapInArrow(lean(_contracted), "hi long, lo long").distinct(), narrow=True)
+    if now.df.count() <= few:
+        after = Table(now.df.coalesce(1).mapInArrow(lean(lambda batches: _contracted(batches, few + 1)), "hi long, lo long"))
+        now.drop()
+        return after.df.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(after.df.select("lo", "lo").distinct())
     state = None
     while True:
         seen = now.df.agg(F.count("*"), *(F.sum(F.xxhash64("hi", "lo", F.lit(turn)).cast("decimal(20,0)")) for turn in (1, 2))).first()

@@ -100,7 +100,7 @@ def near_duplicates(
     sizes = placed.groupBy("label", "cell", "home").count().groupBy("label", "cell").agg(
         F.sum(F.when(F.col("home"), F.col("count")).otherwise(0)).alias("homes"), F.sum(F.when(~F.col("home"), F.col("count")).otherwise(0)).alias("guests")
     )
-    blocks = Table(sizes.select("label", "cell", F.ceil(F.col("homes") / block_rows).cast("int").alias("nh"), F.ceil(F.col("guests") / block_rows).cast("int").alias("ng")).where("nh > 0"))
+    blocks = Table(sizes.select("label", "cell", F.ceil(F.col("homes") / block_rows).cast("int").alias("nh"), F.ceil(F.col("guests") / block_rows).cast("int").alias("ng")).where("nh > 0"), narrow=True)
     own = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("ng"))).cast("int")
     # q >= 0: home blocks p <= q; q < 0: home block p against guest block -1 - q
     pairs = F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda q: F.struct(F.least(F.col("own"), q).alias("p"), F.greatest(F.col("own"), q).alias("q")))

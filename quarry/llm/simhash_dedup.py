@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, sample: in
     bounds the fingerprints from which the index is planned; any plan gives the same links.
     """
     prints = Table(fingerprints(docs, words))
-    classes = Table(prints.df.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", F.lit(0).cast("long").alias("more"), F.col("fp").alias("node"), F.col("fp").alias("root"))).df
+    classes = Table(prints.df.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", "least", F.lit(0).cast("long").alias("more"), F.col("fp").alias("node"), F.col("fp").alias("root")), narrow=True).df
     total = classes.count()
     plan = split_keys(classes, planned(classes, total, radius, sample), total, block_rows)
     return with_least(prints.df, "fp", classes.select("fp", "least"), components(linked(probes(classes, plan), plan)))
@@ -357,7 +357,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, sample: in
 
 def with_least(rows: DataFrame, by: str, classes: DataFrame, found: DataFrame) -> DataFrame:
     """rows with the smallest id (`least` of classes) of the component of its class, named by column `by`."""
-    in_one = Table(classes.join(found, F.col(by) == F.col("node"), "left").select(F.col(by).alias("_by"), F.coalesce("root", by).alias("_root"), "least")).df
+    in_one = Table(classes.join(found, F.col(by) == F.col("node"), "left").select(F.col(by).alias("_by"), F.coalesce("root", by).alias("_root"), "least"), narrow=True).df
     roots = in_one.groupBy(F.col("_root").alias("_r")).agg(F.min("least").alias("component_id"))
     named = in_one.select("_by", "_root").join(roots, F.col("_root") == F.col("_r")).select("_by", "component_id")
     return rows.join(named, F.col(by) == F.col("_by")).select(*rows.columns, "component_id")
@@ -494,7 +494,7 @@ def _similar(docs: DataFrame, words: int, tables: int, **how) -> tuple[Table, li
     row, by, count, *fps = names
     table = Table(with_prints(docs, words, tables, names))
     worded = table.df.where(F.col(by).isNotNull())
-    classes = Table(worded.groupBy(F.col(by).alias("node")).agg(F.min(row).alias("row"), F.max(count).alias("n"), *(F.max(f).alias(f"fp{i}") for i, f in enumerate(fps)))).df
+    classes = Table(worded.groupBy(F.col(by).alias("node")).agg(F.min(row).alias("row"), F.max(count).alias("n"), *(F.max(f).alias(f"fp{i}") for i, f in enumerate(fps))), narrow=True).df
     texts = table.df.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
     return table, names, similar_classes(texts, classes, words, tables=tables, **how)
 
@@ -538,7 +538,7 @@ def without_near_copies(
     table, (row, by, *_), found = _similar(docs, words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, unit_rows=unit_rows, unit_hashes=unit_hashes)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col(row))
     narrow = table.df.select(F.coalesce(by, F.lit(0)).alias("node"), order.alias("order"))
-    best = Table(narrow.groupBy("node").agg(F.min("order").alias("order"))).df
+    best = Table(narrow.groupBy("node").agg(F.min("order").alias("order")), narrow=True).df
     roots = best.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(F.coalesce("root", "node").alias("root"), "order")
     first = roots.groupBy("root").agg(F.min("order").alias("order")).select(F.col(f"order.{row}").alias(f"{row}_kept"))
     return table.df.join(first, F.col(row) == F.col(f"{row}_kept"), "left_semi").select(*docs.columns)

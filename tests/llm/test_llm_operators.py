@@ -67,8 +67,9 @@ def components_of(n, links):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(200, 400)] + [(7, 7), (None, 3)]
-    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 100 for i in range(100, 161)}, **{k: 1 for k in [1, *range(200, 400)]}}
+    for few in (1000, 0):
+        got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(5), few=few).collect()}
+        assert got == {**{i: 100 for i in range(100, 161)}, **{k: 1 for k in [1, *range(200, 400)]}}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
