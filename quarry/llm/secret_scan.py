@@ -23,6 +23,8 @@ BASE = ("assign", "access", "hex")
 MIN_VALUE = 6
 #: Cells in which the interval join looks for parts, in code points.
 CELL = 1024
+#: So many spans (about 80 bytes each) at most are sent to each task.
+SENT_SPANS = 200_000
 
 
 def _hits(text: Column, kind: str) -> Column:
@@ -102,13 +104,16 @@ def redact(docs: DataFrame, mark: str = "[secret]", reach: int = 200) -> DataFra
     """docs with each span, overlapping ones as one, replaced by `mark`, and n_chars, if there, counted anew.
 
     Rows meet their spans by doc_id and a hash of the text, so equal rows fare alike; texts without spans stay as they are.
-    Of equal rows the spans of one are placed.
+    Of equal rows the spans of one are placed. Up to SENT_SPANS spans are sent to the texts; more meet them by a shuffle.
     """
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     taken = max(map(len, docs.columns)) * "_"  # no column of docs starts with so many
     named = docs.withColumn(f"{taken}_key", key)
     found = parts(named.select(F.col(f"{taken}_key").alias("row"), "text"), ["row"], repeated=True)
-    spans = linked(found, ["row"], reach).distinct().groupBy(F.col("row").alias(f"{taken}_row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(f"{taken}_spans"))
+    spans = Table(linked(found, ["row"], reach).distinct(), narrow=True).df
+    few = spans.count() <= SENT_SPANS
+    spans = spans.groupBy(F.col("row").alias(f"{taken}_row")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(f"{taken}_spans"))
+    spans = F.broadcast(spans) if few else spans
     at = F.col(f"{taken}_spans")
     text, n = F.col("text"), F.length("text")
     step = lambda acc, s: F.struct(

@@ -13,7 +13,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.llm.common import Table, components, expanded, lean, local_roots, run_starts, settled, small_batches, sorted_chunks, texts_of, unused
 
@@ -88,23 +87,25 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return bare.mapInArrow(lean(run), "doc_id long, fp long")
 
 
-def with_prints(docs: DataFrame, words: int, tables: int, names: list[str]) -> DataFrame:
-    """docs with its row's number, the name of its shingle set (null: no words), the set's size, and `tables` fingerprints
-    of the set, called `names`."""
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a number for each row: the same each time, as long as docs is a table (or another fixed plan over one)."""
+    return docs.withColumn(row, F.monotonically_increasing_id())
+
+
+def set_prints(docs: DataFrame, words: int, tables: int) -> DataFrame:
+    """row, doc_id, node (a name of the row's shingle set; null: no words), n (its size) and `tables` fingerprints of the set,
+    fp0, fp1, ..., for docs(row, doc_id, text)."""
     small_batches(docs.sparkSession)
-    row, named, count, *fps = names
-    text = T.StructField(f"{row}_text", T.StringType())
-    kinds = T.StructType([*docs.schema.fields, T.StructField(row, T.LongType()), *(T.StructField(n, T.LongType()) for n in (named, count, *fps))])
+    names = ["row", "doc_id", "node", "n", *(f"fp{i}" for i in range(tables))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in texts_of(batch.column(text.name))]
-            prints = [pa.array([set_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
-            prints += [pa.array([fingerprint(remixed(x, turn)) for x in sets], pa.int64()) for turn in range(tables)]
-            rest = batch.drop_columns([text.name])
-            yield pa.RecordBatch.from_arrays([*rest.columns, *prints], names=[*rest.schema.names, named, count, *fps])
+            sets = [shingle_set(t, words) for t in texts_of(batch.column("text"))]
+            made = [pa.array([set_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
+            made += [pa.array([fingerprint(remixed(x, turn)) for x in sets], pa.int64()) for turn in range(tables)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *made], names=names)
 
-    return docs.select("*", F.monotonically_increasing_id().alias(row), F.col("text").cast("string").alias(text.name)).mapInArrow(lean(run), kinds)
+    return docs.select("row", "doc_id", "text").mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 @dataclass(frozen=True)
@@ -156,12 +157,13 @@ def correlated_parts(bits: np.ndarray, m: int) -> tuple[tuple[int, ...], ...]:
     return tuple(parts)
 
 
-def make_plan(sample: np.ndarray, total: int, radius: int, block_rows: int = 2048, probe_cost: float = 40.0) -> Plan:
+def make_plan(sample: np.ndarray, total: int, radius: int, block_rows: int = 2048, probe_cost: float = 1500.0) -> Plan:
     """Partitions and thresholds with the least estimated work, such that any pair within radius is probed.
 
     Generalised pigeonhole: if sum(limit_i + 1) = radius + 1, two fingerprints within radius are within limit_i in
     some partition i. For 2 to 8 partitions, dynamic programming spreads radius + 1 over them; the work of (i, limit) is
-    its probes plus the candidate pairs, estimated from all pairs of the sample scaled to `total` rows.
+    its probes, each as costly as `probe_cost` comparisons (it is shuffled and sorted, and takes disk), plus the candidate
+    pairs, estimated from all pairs of the sample scaled to `total` rows.
     """
     some = sample[:1024].astype(np.uint64)
     if len(some) < 2:
@@ -291,28 +293,23 @@ def linked(sorted_probes: DataFrame, plan: Plan, nearest: int | None = None, bot
             fp, more = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "more"))
             part = key >> 48
             masked = (key & ((1 << 48) - 1)).astype(np.uint64)
-            idx, d, found, held = np.arange(len(key)), 0, [], 0
-            while len(idx):
-                d += 1
-                idx = idx[: np.searchsorted(idx, len(key) - d)]
-                idx = idx[(key[idx] == key[idx + d]) & (pair[idx] == pair[idx + d])]
-                diff = fp[idx] ^ fp[idx + d]
-                dist = np.bitwise_count(diff)
-                hit = np.flatnonzero(dist <= plan.radius)
-                if len(hit):
-                    x, diff, dist = idx[hit], diff[hit], dist[hit]
-                    ok = (root[x] != root[x + d]) & (dist + np.bitwise_count(more[x] ^ more[x + d]) <= both)
-                    x, diff, dist = x[ok], diff[ok], dist[ok]
-                    common = fp[x] & fp[x + d]
-                    ok = np.ones(len(x), bool)
-                    for i, limit in enumerate(plan.limits):  # only where it is the first partition that finds the pair, by the key that both reach
-                        own = part[x] == i
-                        ok[own] &= plan.value(common[own], i) == masked[x[own]]
-                        near = np.bitwise_count(diff & masks[i]).astype(np.int64)
-                        ok &= np.where(own, near <= limit, (near > limit) | (part[x] < i))
-                    if ok.any():
-                        found.append(np.stack([x[ok], x[ok] + d, dist[ok]], 1))
-                        held += int(ok.sum())
+            found, held = [], 0
+            for x, y in close_pairs(fp, run_starts(table, ["key", "pair"]), plan.radius):
+                ok = root[x] != root[y]
+                x, y = x[ok], y[ok]
+                diff = fp[x] ^ fp[y]
+                dist = np.bitwise_count(diff).astype(np.int64)
+                ok = dist + np.bitwise_count(more[x] ^ more[y]) <= both
+                x, y, diff, dist = x[ok], y[ok], diff[ok], dist[ok]
+                common = fp[x] & fp[y]
+                ok = np.ones(len(x), bool)
+                for i, limit in enumerate(plan.limits):  # only where it is the first partition that finds the pair, by the key that both reach
+                    own = part[x] == i
+                    ok[own] &= plan.value(common[own], i) == masked[x[own]]
+                    near = np.bitwise_count(diff & masks[i]).astype(np.int64)
+                    ok &= np.where(own, near <= limit, (near > limit) | (part[x] < i))
+                found.append(np.stack([x[ok], y[ok], dist[ok]], 1))
+                held += int(ok.sum())
                 if held > HELD_PAIRS:
                     yield chosen(node, root, *np.concatenate(found).T)
                     found, held = [], 0
@@ -322,6 +319,32 @@ def linked(sorted_probes: DataFrame, plan: Plan, nearest: int | None = None, bot
     return sorted_probes.mapInArrow(lean(run), "a long, b long, ra long, rb long, n long")
 
 
+def close_pairs(fp: np.ndarray, starts: np.ndarray, radius: int, short: int = 32, cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same run (starts: where each begins) whose fingerprints differ in `radius` bits at most.
+
+    Runs of up to `short` rows are compared together, at one distance after the other; each longer one in squares of about
+    `cells` pairs. Each part yielded holds at most so many, or short * the number of rows.
+    """
+    sizes = np.diff(np.append(starts, len(fp)))
+    end = np.repeat(starts + sizes, sizes)
+    idx = np.flatnonzero(np.repeat(sizes <= short, sizes))
+    for d in range(1, short):
+        idx = idx[idx + d < end[idx]]
+        if not len(idx):
+            break
+        hit = idx[np.bitwise_count(fp[idx] ^ fp[idx + d]) <= radius]
+        if len(hit):
+            yield hit, hit + d
+    for lo, n in zip(starts[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
+        run, step = fp[lo : lo + n], max(1, cells // n)
+        for i in range(0, n - 1, step):
+            block = run[i : i + step]
+            x, y = np.nonzero(np.bitwise_count(block[:, None] ^ run[None, i + 1 :]) <= radius)
+            later = y >= x  # y counts from i + 1
+            if later.any():
+                yield x[later] + (lo + i), y[later] + (lo + i + 1)
+
+
 def local_star(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each linked node to the smallest one that its links reach."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -488,15 +511,16 @@ def similar_classes(rows: DataFrame, classes: DataFrame, words: int, radius: int
     return components(edges)
 
 
-def _similar(docs: DataFrame, words: int, tables: int, **how) -> tuple[Table, list[str], DataFrame]:
-    """docs with its prints, the names of the added columns (row and class first), and the classes linked."""
-    names = unused(docs.columns, "row", "set", "n", *(f"fp{i}" for i in range(tables)))
-    row, by, count, *fps = names
-    table = Table(with_prints(docs, words, tables, names))
-    worded = table.df.where(F.col(by).isNotNull())
-    classes = Table(worded.groupBy(F.col(by).alias("node")).agg(F.min(row).alias("row"), F.max(count).alias("n"), *(F.max(f).alias(f"fp{i}") for i, f in enumerate(fps))), narrow=True).df
-    texts = table.df.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"))
-    return table, names, similar_classes(texts, classes, words, tables=tables, **how)
+def _similar(docs: DataFrame, words: int, tables: int, **how) -> tuple[DataFrame, DataFrame]:
+    """row, doc_id and node of docs(row, doc_id, text), and the classes linked."""
+    prints = Table(set_prints(docs, words, tables)).df
+    worded = prints.where("node is not null")
+    classes = Table(worded.groupBy("node").agg(F.min("row").alias("row"), F.max("n").alias("n"), *(F.max(f"fp{i}").alias(f"fp{i}") for i in range(tables))), narrow=True).df
+    return prints.select("row", "doc_id", F.coalesce("node", F.lit(0)).alias("node")), similar_classes(docs.select("row", "text"), classes, words, tables=tables, **how)
+
+
+def bare(docs: DataFrame) -> DataFrame:
+    return numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "row")
 
 
 def similar_texts(
@@ -519,9 +543,8 @@ def similar_texts(
     but not the text are linked only if their texts are. A row without doc_id stays, and does not lend its id; where no
     row of a component has one, component_id is null. Other columns are ignored; an empty table gives an empty result.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table, (_, by, *_), found = _similar(narrow, words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, unit_rows=unit_rows, unit_hashes=unit_hashes)
-    prints = table.df.select("doc_id", F.coalesce(by, F.lit(0)).alias("set_id"))
+    rows, found = _similar(bare(docs), words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, unit_rows=unit_rows, unit_hashes=unit_hashes)
+    prints = rows.select("doc_id", F.col("node").alias("set_id"))
     classes = prints.groupBy("set_id").agg(F.min("doc_id").alias("least"))
     return with_least(prints, "set_id", classes, found)
 
@@ -533,15 +556,16 @@ def without_near_copies(
 
     Rows without doc_id come last; of rows that tie, that is share the id or have none, the first in the order of input
     stays. Texts without words are one group. Rows that share a doc_id and do not resemble each other all stay. Any
-    columns, whatever their names, are kept.
+    columns, whatever their names, are kept. docs is read several times and its rows are told apart by their place, so
+    it must be a table or a fixed plan over one.
     """
-    table, (row, by, *_), found = _similar(docs, words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, unit_rows=unit_rows, unit_hashes=unit_hashes)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.col(row))
-    narrow = table.df.select(F.coalesce(by, F.lit(0)).alias("node"), order.alias("order"))
-    best = Table(narrow.groupBy("node").agg(F.min("order").alias("order")), narrow=True).df
+    rows, found = _similar(bare(docs), words, tables, radius=radius, both=both, similarity=similarity, sample=sample, block_rows=block_rows, unit_rows=unit_rows, unit_hashes=unit_hashes)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("order")
+    best = Table(rows.select("node", order).groupBy("node").agg(F.min("order").alias("order")), narrow=True).df
     roots = best.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(F.coalesce("root", "node").alias("root"), "order")
-    first = roots.groupBy("root").agg(F.min("order").alias("order")).select(F.col(f"order.{row}").alias(f"{row}_kept"))
-    return table.df.join(first, F.col(row) == F.col(f"{row}_kept"), "left_semi").select(*docs.columns)
+    row, kept = unused(docs.columns, "row", "kept")
+    first = roots.groupBy("root").agg(F.min("order").alias("order")).select(F.col("order.row").alias(kept))
+    return numbered(docs, row).join(first, F.col(row) == F.col(kept), "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(fp: str):
