@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,20 +48,28 @@ class Table:
 
 
 def settled(spark: SparkSession) -> None:
-    """Lets the driver notice which shuffles nothing refers to any longer, so that their files go before the next are written."""
+    """Lets the driver notice which shuffles nothing refers to any longer, so that their files go before the next are written,
+    and give back what it has freed."""
+    gc.collect()
+    trim()
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """What this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, and then what it has freed goes back to the system: workers outlive their tasks, and stages share a machine."""
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
 
     return trimmed
 

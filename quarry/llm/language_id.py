@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import lean, small_batches, texts_of, unused
+from quarry.llm.common import lean, small_batches, texts_of, trim, unused
 
 UND = "und"
 #: Texts are worked on in runs of about so many bytes.
@@ -81,7 +81,8 @@ def fit(texts: list[bytes], langs: list[str], buckets: int = 1 << 15, width: int
     labels = tuple(sorted(set(langs)))
     rng = np.random.default_rng(seed)
     y = np.array([labels.index(x) for x in langs])
-    rows = [np.unique(subwords([t], buckets)[0], return_counts=True) for t in texts]
+    counted = (np.unique(subwords([t], buckets)[0], return_counts=True) for t in texts)
+    rows = [(ids.astype(np.int32), n.astype(np.float32)) for ids, n in counted]
     emb = rng.normal(0, 0.1, (buckets, width))
     w, bias = rng.normal(0, 0.1, (width, len(labels))), np.zeros(len(labels))
     held = np.arange(len(texts)) % 5 == 4
@@ -145,7 +146,10 @@ def train(docs: DataFrame, learn: Column, sample: int = 6000, **options) -> Mode
     if not len(some):
         return None
     order = np.random.default_rng(1).permutation(len(some))
-    return fit([some["text"].iloc[i].encode() for i in order], [some["lang"].iloc[i] for i in order], **options)
+    model = fit([some["text"].iloc[i].encode() for i in order], [some["lang"].iloc[i] for i in order], **options)
+    del some
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import expanded, lean, small_batches, texts_of
+from quarry.llm.common import expanded, lean, small_batches, texts_of, trim
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁".encode()
@@ -148,8 +148,10 @@ class Codec:
             elif k in (NORMAL, USER):
                 p = p.replace(MARKER, b" ")
             pieces.append(p)
+        trie = Trie.of(entries)
+        trim()  # of the nodes from which the array was made
         control = frozenset(i for i, x in enumerate(found) if x[2] in (CONTROL, UNKNOWN))
-        return cls(pieces, scores, Trie.of(entries), bytes_at, control, float(min(scores[i] for i in entries.values())) - 10)
+        return cls(pieces, scores, trie, bytes_at, control, float(min(scores[i] for i in entries.values())) - 10)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_memory": {}}
