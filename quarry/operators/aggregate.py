@@ -147,11 +147,12 @@ def variance_components(rows: DataFrame, value: str, group: str) -> DataFrame:
 
 def top_mass(rows: DataFrame, mass: str, key: str, fraction: float, floor: float) -> DataFrame:
     """Rows whose mass reaches that at which the cumulative share, largest first, reaches `fraction`, or the floor."""
-    every = W.partitionBy()
-    run = F.sum(mass).over(W.orderBy(F.col(mass).desc(), key)) / F.sum(mass).over(every)
-    marked = rows.withColumn("_run", run)
-    cut = F.max(F.when(F.col("_run") >= fraction, F.col(mass))).over(every)
-    return marked.withColumn("_cut", cut).where((F.col(mass) >= F.col("_cut")) | (F.col(mass) >= floor)).drop("_run", "_cut")
+    from quarry.operators.ranking import running_sum
+
+    total = rows.agg(F.sum(mass).alias("_total"))  # one row
+    marked = running_sum(rows.withColumn("_down", -F.col(mass)), "_down", F.col(mass), "_run", ties=[key])
+    cut = marked.join(F.broadcast(total), F.lit(True)).agg(F.max(F.when(F.col("_run") / F.col("_total") >= fraction, F.col(mass))).alias("_cut"))
+    return rows.join(F.broadcast(cut), F.lit(True)).where((F.col(mass) >= F.col("_cut")) | (F.col(mass) >= floor)).drop("_cut")
 
 
 def voxel_centroids(rows: DataFrame, axes: Sequence[str], size: float) -> DataFrame:

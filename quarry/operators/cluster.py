@@ -17,6 +17,8 @@ def written(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         folder = sc.getCheckpointDir()
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
@@ -93,6 +95,20 @@ def hamming_pairs(rows: DataFrame, key: str, code: str, radius: int) -> DataFram
     return joined.where((distance <= radius) & (first == F.col("ab.i"))).select(F.col("ak").alias("a"), F.col("bk").alias("b"), distance.alias("distance"))
 
 
+def hamming_counts(rows: DataFrame, key: str, code: str, radius: int) -> DataFrame:
+    """rows with first (the smallest key of its code) and n_links (how many other rows are within `radius` bits).
+
+    Rows of equal codes are one class; only classes are compared, and no pair of rows is made.
+    """
+    classes = rows.groupBy(code).agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    pairs = hamming_pairs(classes, "first", code, radius)
+    sizes = classes.select(F.col("first").alias("_k"), F.col("n").alias("_n"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    more = both.join(sizes, F.col("b") == F.col("_k")).groupBy("a").agg(F.sum("_n").alias("_more"))
+    counted = classes.join(more, F.col("first") == F.col("a"), "left").select(F.col(code).alias("_c"), "first", (F.col("n") - 1 + F.coalesce("_more", F.lit(0))).alias("n_links"))
+    return rows.join(counted, F.col(code) == F.col("_c")).drop("_c")
+
+
 def average_hash(values: Column) -> Column:
     """64 bits: whether each of the first 64 entries is over their median, the first entry lowest."""
     v = F.slice(F.transform(values, lambda x: x.cast("double")), 1, 64)

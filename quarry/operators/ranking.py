@@ -118,10 +118,27 @@ def recency_window(rows: DataFrame, block: str, key: str, back: int) -> DataFram
     return rows.withColumn("seen", last.isNotNull())
 
 
+def running_sum(rows: DataFrame, order: str, value: Column, out: str, ties: Sequence[str] = (), blocks: int = 256) -> DataFrame:
+    """rows with the sum of `value` up to each row, in the order of a number and then of `ties`; nulls of `order` come first.
+
+    The numbers are cut into about `blocks` ranges at approximate quantiles; a range's sum is added to those after it, so
+    that each task orders one range. Rows of one number share a range.
+    """
+    spots = [i / blocks for i in range(1, blocks)]
+    cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), spots, 10 * blocks)).first()[0] or []
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c < F.col(order).cast("double")))
+    dealt = rows.withColumn("_block", F.coalesce(at, F.lit(-1)) if cuts else F.lit(0)).withColumn("_value", value)
+    own = W.partitionBy("_block").orderBy(F.col(order), *ties)
+    sums = dealt.groupBy("_block").agg(F.sum("_value").alias("_all"))  # a row for each range
+    before = sums.select(F.col("_block").alias("_b"), F.coalesce(F.sum("_all").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    summed = dealt.withColumn(out, F.sum("_value").over(own)).join(F.broadcast(before), F.col("_block") == F.col("_b"))
+    return summed.withColumn(out, F.col(out) + F.col("_before")).drop("_block", "_value", "_b", "_before")
+
+
 def first_seen_curve(rows: DataFrame, order: str, key: str) -> DataFrame:
     """Rows with fresh (first of its key) and the number of distinct keys up to them."""
     fresh = F.row_number().over(W.partitionBy(key).orderBy(order)) == 1
-    return rows.withColumn("fresh", fresh).withColumn("distinct_so_far", F.sum(F.col("fresh").cast("long")).over(W.orderBy(order)))
+    return running_sum(rows.withColumn("fresh", fresh), order, F.col("fresh").cast("long"), "distinct_so_far")
 
 
 def consecutive(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:

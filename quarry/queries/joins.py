@@ -69,11 +69,11 @@ def asof_step(spark, d):
     return joins.as_of(e.select("event_id", "user_id", "ts"), "ts", steps, "at", "last_buy", ["user_id"]).select("event_id", "last_buy")
 
 
-@query("first_reaching", "SELECT min(event_id) AS event_id FROM (SELECT event_id, sum(value) OVER (ORDER BY event_id) AS total FROM events WHERE user_id < 20) WHERE total >= 1000")
+@query("first_reaching", "SELECT min(event_id) AS event_id FROM (SELECT event_id, sum(value) OVER (ORDER BY event_id) AS total FROM events) WHERE total >= 1000")
 def first_reaching(spark, d):
-    from pyspark.sql import Window as W
+    from quarry.operators.ranking import running_sum
 
-    steps = table(spark, d, "events").where("user_id < 20").select("event_id", F.sum("value").over(W.orderBy("event_id")).alias("total"))
+    steps = running_sum(table(spark, d, "events").select("event_id", "value"), "event_id", F.col("value"), "total")
     return joins.first_reaching(steps, "event_id", "total", 1000)
 
 
@@ -162,9 +162,11 @@ def cosine_exemplars(spark, d):
 
 
 @query("distance_matrix", f"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 3) SELECT a.vec_id AS a, b.vec_id AS b, round(1 - {COS}, 6) AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id""")
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(1 - {COS}, 6) AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id""")
 def distance_matrix(spark, d):
-    v = table(spark, d, "embeddings").where("label = 3")
+    """Distances within each label: the matrix is the result, so it is as large as the squares of the labels' counts."""
+    v = table(spark, d, "embeddings")
     a, b = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), "label"), v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), "label")
     return a.join(b, "label").where("a < b").select("a", "b", F.round(1 - F.round(V.cosine(F.col("ea"), F.col("eb")), 6), 6).alias("distance"))
 

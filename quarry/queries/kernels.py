@@ -59,13 +59,13 @@ def cosine_to_first(spark, d):
 
 
 @query("window_scan", """
-WITH c AS (SELECT event_id, event_id // 4 AS y, event_id % 4 AS x, value FROM events WHERE event_id < 400), w AS (SELECT unnest(range(0, 95, 5)) AS y0)
-SELECT y0, count(*) AS n, round(count(*) FILTER (value < 20) / count(*), 6) AS black, round(avg(value), 6) AS mean, round(var_pop(value), 5) AS var FROM w JOIN c ON c.y >= y0 AND c.y < y0 + 10 GROUP BY 1 HAVING count(*) FILTER (value < 20) / count(*) <= 0.4 AND var_pop(value) >= 100""")
+WITH c AS (SELECT event_id // 4 AS y, value FROM events), w AS (SELECT value, unnest(range(greatest(0, (y - 5) // 5 * 5), y // 5 * 5 + 1, 5)) AS y0 FROM c)
+SELECT y0, count(*) AS n, round(count(*) FILTER (value < 20) / count(*), 6) AS black, round(avg(value), 6) AS mean, round(var_pop(value), 5) AS var FROM w GROUP BY 1 HAVING count(*) FILTER (value < 20) / count(*) <= 0.4 AND var_pop(value) >= 100""")
 def window_scan(spark, d):
     """Windows of 10 lines every 5: each pixel goes to the windows that hold it."""
-    c = table(spark, d, "events").where("event_id < 400").select(F.expr("event_id div 4").alias("y"), "value")
-    own = F.filter(F.sequence(F.lit(0), F.lit(90), F.lit(5)), lambda s: (s <= F.col("y")) & (F.col("y") < s + 10))
-    w = c.select(F.explode(own.cast("array<bigint>")).alias("y0"), "value").groupBy("y0")
+    c = table(spark, d, "events").select(F.expr("event_id div 4").alias("y"), "value")
+    own = F.expr("sequence(greatest(0L, (y - 5) div 5 * 5), y div 5 * 5, 5L)")
+    w = c.select(F.explode(own).alias("y0"), "value").groupBy("y0")
     out = w.agg(F.count("*").alias("n"), (F.count_if(F.col("value") < 20) / F.count("*")).alias("black"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
     return out.where("black <= 0.4 and var >= 100").select("y0", "n", F.round("black", 6).alias("black"), F.round("mean", 6).alias("mean"), F.round("var", 5).alias("var"))
 
@@ -227,11 +227,12 @@ def gradient_profiles(spark, d):
 
 @query("extracted_palettes")
 def extracted_palettes(spark, d):
-    """A closed ramp of 8 colours from each label's vectors, three entries a colour."""
+    """A closed ramp of 8 colours from each label's vectors, laid end to end, three entries a colour (the first fill up the last)."""
     import pandas as pd
 
     def run(f):
-        px = np.array(f.sort_values("vec_id")["embedding"].tolist(), float)[:, :63].reshape(-1, 3)
+        line = np.concatenate(f.sort_values("vec_id")["embedding"].tolist()).astype(float)
+        px = np.append(line, line[: -len(line) % 3]).reshape(-1, 3)
         ramp = fields.extract_palette(px, 8, 0.1)
         return pd.DataFrame({"label": f["label"].iloc[0], "stop": range(8), "x": ramp[:, 0], "y": ramp[:, 1], "z": ramp[:, 2]})
 

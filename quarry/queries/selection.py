@@ -199,13 +199,17 @@ def kmeans_cells(spark, d):
 
 
 @query("hamming_dedup", """
-WITH h AS (SELECT doc_id, ('0x' || substr(md5(lang || n_chars % 40), 1, 8))::BIGINT AS h FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM h a JOIN h b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 6""")
+WITH h AS (SELECT doc_id, ('0x' || substr(md5(lang || n_chars % 40), 1, 8))::BIGINT AS h FROM documents), c AS (SELECT h, min(doc_id) AS first, count(*) AS n FROM h GROUP BY 1),
+l AS (SELECT a.h, any_value(a.first) AS first, sum(b.n)::BIGINT - 1 AS n_links FROM c a JOIN c b ON bit_count(xor(a.h, b.h)) <= 6 GROUP BY 1) SELECT doc_id, first, n_links FROM h JOIN l USING (h)""")
 def hamming_dedup(spark, d):
     code = F.conv(F.substring(F.md5(F.concat(F.col("lang"), (F.col("n_chars") % 40).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return cluster.hamming_pairs(table(spark, d, "documents").select("doc_id", code.alias("h")), "doc_id", "h", 6)
+    return cluster.hamming_counts(table(spark, d, "documents").select("doc_id", code.alias("h")), "doc_id", "h", 6).select("doc_id", "first", "n_links")
 
 
-@query("perceptual_hash")
+@query("perceptual_hash", """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT vec_id, e[1:64] AS e, (list_sort(e[1:64])[32] + list_sort(e[1:64])[33]) / 2 AS m FROM e),
+b AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN e[i] > m THEN CASE WHEN i = 64 THEN -9223372036854775808::HUGEINT ELSE (2::HUGEINT ** (i - 1))::HUGEINT END ELSE 0::HUGEINT END) AS b FROM m)
+SELECT vec_id, list_sum(b)::BIGINT AS h, len(list_filter(b, lambda x: x <> 0))::INT AS bits FROM b""")
 def perceptual_hash(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", cluster.average_hash(F.col("embedding")).alias("h"))
     return v.select("vec_id", "h", F.bit_count("h").alias("bits"))
@@ -222,8 +226,11 @@ def membership_diff(spark, d):
 SELECT CASE WHEN a.p_brand = b.p_brand THEN 'sampler_dup' ELSE 'perceptual_collapse' END AS class, count(*) AS n FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey GROUP BY 1""")
 def pair_classes(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    two = p.alias("a").join(p.alias("b"), ["p_type", "p_size"]).where("a.p_partkey < b.p_partkey")
-    return two.groupBy(F.when(F.col("a.p_brand") == F.col("b.p_brand"), "sampler_dup").otherwise("perceptual_collapse").alias("class")).agg(F.count("*").alias("n"))
+    of = lambda c: F.col(c) * (F.col(c) - 1) / 2  # noqa: E731  pairs among so many
+    brands = p.groupBy("p_type", "p_size", "p_brand").agg(F.count("*").alias("n"))
+    groups = brands.groupBy("p_type", "p_size").agg(F.sum("n").alias("all"), F.sum(of("n")).alias("same"))
+    both = groups.agg(F.sum("same").alias("same"), F.sum(of("all") - F.col("same")).alias("other"))
+    return both.select(F.explode(F.create_map(F.lit("sampler_dup"), "same", F.lit("perceptual_collapse"), "other")).alias("class", "n")).where("n > 0").select("class", F.col("n").cast("long").alias("n"))
 
 
 @query("spaced_pool")

@@ -81,9 +81,10 @@ def jsonl_torn_lines(spark, d):
     return rows.agg(F.count("event_id").alias("n")).join(torn.hint("broadcast"), F.lit(True))
 
 
-@query("sidecar_shapes", "SELECT doc_id::VARCHAR AS id, quality AS score, shape FROM labels, (VALUES ('bare'), ('labels'), ('scored')) s(shape) WHERE quality IS NOT NULL AND doc_id < 50")
+@query("sidecar_shapes", "SELECT doc_id::VARCHAR AS id, quality AS score, shape FROM labels, (VALUES ('bare'), ('labels'), ('scored')) s(shape) WHERE quality IS NOT NULL")
 def sidecar_shapes(spark, d):
-    l = table(spark, d, "labels").where("doc_id < 50").groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.col("quality")))).alias("m"))
+    """A sidecar of each shape for every 1,000 ids, so that no map holds more; all are read back."""
+    l = table(spark, d, "labels").where("quality is not null").groupBy(F.floor(F.col("doc_id") / 1000)).agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.col("quality")))).alias("m"))
     bare = F.to_json("m")
     scored = F.to_json(F.transform_values("m", lambda k, v: F.struct(v.alias("score"), F.lit(1).alias("revealed"))))
     files = l.select(F.explode(F.array(F.struct(F.lit("bare").alias("shape"), bare.alias("text")), F.struct(F.lit("labels").alias("shape"), F.concat(F.lit('{"labels":'), bare, F.lit("}")).alias("text")), F.struct(F.lit("scored").alias("shape"), scored.alias("text")))).alias("f"))
