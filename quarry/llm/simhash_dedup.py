@@ -157,7 +157,7 @@ def correlated_parts(bits: np.ndarray, m: int) -> tuple[tuple[int, ...], ...]:
     return tuple(parts)
 
 
-def make_plan(sample: np.ndarray, total: int, radius: int, block_rows: int = 2048, probe_cost: float = 1500.0) -> Plan:
+def make_plan(sample: np.ndarray, total: int, radius: int, block_rows: int = 2048, probe_cost: float = 4000.0) -> Plan:
     """Partitions and thresholds with the least estimated work, such that any pair within radius is probed.
 
     Generalised pigeonhole: if sum(limit_i + 1) = radius + 1, two fingerprints within radius are within limit_i in
