@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def fold(rows: DataFrame, groups: Sequence[str], order: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str, ascending: Sequence[bool] | bool = True) -> DataFrame:
@@ -56,6 +57,57 @@ def distinct_looks(rows: DataFrame, groups: Sequence[str], key: str, vec: str, t
     return out.select(key, (F.col(key) == F.col("cluster")).alias("fresh"))
 
 
+class BudgetExhausted(Exception):
+    """Raised by an embedding callback that may embed no more."""
+
+
+def embedded_looks(rows: DataFrame, groups: Sequence[str], key: str, vec: str, embed: Callable[[], Callable[[object], object]], threshold: float = 0.974) -> DataFrame:
+    """key and status: kept, removed (its cosine to a kept one reaches the threshold), unembeddable or not_reached.
+
+    embed makes a callback for each group, which gets the value of `vec` and returns a vector or None, or raises
+    BudgetExhausted. Rows that it cannot embed, or does not reach any more, stay and are told apart.
+    """
+
+    def step(f: pd.DataFrame) -> pd.DataFrame:
+        call, looks, status = embed(), [], []
+        for value in f[vec]:
+            try:
+                e = call(value)
+            except BudgetExhausted:
+                status.append("not_reached")
+                continue
+            if e is None:
+                status.append("unembeddable")
+                continue
+            e = np.asarray(e, np.float64)
+            e = e / max(np.sqrt((e * e).sum()), 1e-300)
+            near = bool(looks) and float((np.stack(looks) @ e).max()) >= threshold
+            status.append("removed" if near else "kept")
+            if not near:
+                looks.append(e)
+        return pd.DataFrame({key: f[key], "status": status})
+
+    return fold(rows, groups, [key], step, f"{key} long, status string")
+
+
+def budgeted(calls: int) -> Callable[[], Callable[[object], object]]:
+    """A maker of callbacks that hand a vector on, at most `calls` times."""
+
+    def make() -> Callable[[object], object]:
+        left = calls
+
+        def call(value: object) -> object:
+            nonlocal left
+            if not left:
+                raise BudgetExhausted
+            left -= 1
+            return value
+
+        return call
+
+    return make
+
+
 def spatial_dedup(rows: DataFrame, groups: Sequence[str], order: Sequence[str], key: str, x: str, y: str, radius: float) -> DataFrame:
     """Keys kept, in order, such that no kept row lies closer than radius to an earlier kept one.
 
@@ -127,9 +179,14 @@ def marginal_gain(rows: DataFrame, groups: Sequence[str], key: str, vec: str, sc
 def map_elites(rows: DataFrame, cell: Sequence[str], key: str, score: str, palette: str, cap: int, identity: str) -> DataFrame:
     """Per cell the best row, best cells first, with at most cap rows of a palette and one of an identity.
 
-    Candidates beyond the cap can never be chosen first, so each cell sends its best rows only after SQL has ranked them;
-    the caps couple all cells, so that the ranked list goes through one fold.
+    The caps couple all cells, so one fold chooses. SQL sends it no more than could be chosen: at most palettes x cap rows
+    are, so of a cell's rows of one palette the best of each identity, and of these the best palettes x cap + 1.
     """
+    most = rows.agg(F.countDistinct(palette)).head()[0] * cap + 1
+    best = [F.col(score).desc(), F.col(key)]
+    first = F.row_number().over(W.partitionBy(*cell, palette, identity).orderBy(*best))
+    ranked = rows.withColumn("_one", first).where("_one = 1").withColumn("_rank", F.row_number().over(W.partitionBy(*cell, palette).orderBy(*best)))
+    rows = ranked.where(F.col("_rank") <= most).drop("_one", "_rank")
 
     def step(f: pd.DataFrame) -> pd.DataFrame:
         used: dict = {}

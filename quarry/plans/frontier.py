@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions import fields
 from quarry.operators.cluster import written
 from quarry.operators.ranking import pop_batch, prune
+from quarry.plans.state import RunState
 
 
 def expand_by_hash(popped: DataFrame, children: int) -> DataFrame:
@@ -21,16 +22,19 @@ def expand_by_hash(popped: DataFrame, children: int) -> DataFrame:
     return kids.select(F.pmod(F.xxhash64("node", "i", F.lit("id")), F.lit(2**62)).alias("node"), "root", (F.col("score") + jitter).alias("score"))
 
 
-def run(seeds: DataFrame, rounds: int, batch: int, cap: int, children: int, gate: float = 0.5, most: int = 6000, expand: Callable[[DataFrame, int], DataFrame] = expand_by_hash) -> DataFrame:
+def run(seeds: DataFrame, rounds: int, batch: int, cap: int, children: int, gate: float = 0.5, most: int = 6000, expand: Callable[[DataFrame, int], DataFrame] = expand_by_hash, state: RunState | None = None) -> DataFrame:
     """node, root, score and round of what the frontier admits.
 
     Each round pops the best nodes of roots below their cap, expands them, admits children at or above the gate and pushes
-    all back under a size cap. Frontier and admissions are tables after each round: lineage stays one round long, and a
-    restart resumes from the last.
+    all back under a size cap. Frontier and admissions are tables after each round: lineage stays one round long. With a
+    state they are saved there, and a later call with the same state goes on after its last round.
     """
+    held = state.load() if state else None
     frontier = written(seeds.select("node", "root", "score"))
     admitted = written(seeds.select("node", "root", "score", F.lit(0).alias("round")).limit(0))
-    for i in range(1, rounds + 1):
+    if held:
+        frontier, admitted = held[1]["frontier"], held[1]["admitted"]
+    for i in range(held[0] + 1 if held else 1, rounds + 1):
         used = admitted.groupBy("root").agg(F.count("*").alias("used"))
         live = frontier.join(used, "root", "left").fillna(0, ["used"])
         popped = written(pop_batch(live, "root", "used", cap, F.col("score") > 0.9, 0.25, batch, "score", "node").select("node", "root", "score"))
@@ -38,6 +42,8 @@ def run(seeds: DataFrame, rounds: int, batch: int, cap: int, children: int, gate
         admitted = written(admitted.union(fresh.where(F.col("score") >= gate).select("node", "root", "score", F.lit(i))))
         rest = frontier.join(popped.select("node"), "node", "left_anti").select("node", "root", "score")
         frontier = written(prune(rest.unionByName(fresh), F.col("score") > 0.9, 0.2, most, "score", "node"))
+        if state:
+            state.save(i, {"frontier": frontier, "admitted": admitted})
     return admitted
 
 

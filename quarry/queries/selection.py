@@ -50,7 +50,17 @@ def stratified_sample(spark, d):
     return R.stratified_sample(table(spark, d, "orders"), ["o_orderstatus"], "o_orderkey", 25, "s1").select("o_orderkey")
 
 
-@query("candidate_assembly")
+def thinned(order: str, radius: float) -> str:
+    """SQL of f: per nation (g) and row number the customers kept so far, none within the radius of an earlier one."""
+    return f"""
+WITH RECURSIVE c AS (SELECT c_custkey AS k, c_nationkey AS g, c_acctbal::DOUBLE AS x, (c_custkey % 1000)::DOUBLE AS y, row_number() OVER (PARTITION BY c_nationkey ORDER BY {order}) AS i FROM customer),
+f AS (SELECT DISTINCT g, 0::BIGINT AS i, []::STRUCT(k BIGINT, x DOUBLE, y DOUBLE)[] AS m FROM c
+UNION ALL SELECT c.g, c.i, CASE WHEN len(list_filter(f.m, lambda q: (q.x - c.x) ** 2 + (q.y - c.y) ** 2 < {radius} ** 2)) = 0 THEN list_append(f.m, {{'k': c.k, 'x': c.x, 'y': c.y}}) ELSE f.m END FROM f JOIN c ON c.g = f.g AND c.i = f.i + 1)
+"""
+
+
+@query("candidate_assembly", thinned("c_acctbal, c_custkey", 60) + """
+SELECT c_custkey, c_nationkey, x, y FROM (SELECT k AS c_custkey, g AS c_nationkey, x, y, row_number() OVER (PARTITION BY g ORDER BY x DESC, k) AS rn FROM (SELECT g, unnest(arg_max(m, i), recursive := true) FROM f GROUP BY g)) WHERE rn <= 32""")
 def candidate_assembly(spark, d):
     """Per nation the best customers, thinned in space, up to target + max(12, ceil(0.3 target)) rows."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 1000).cast("double").alias("y"))
@@ -59,7 +69,12 @@ def candidate_assembly(spark, d):
     return R.top_n(c.join(kept, "c_custkey"), target + max(12, -(-3 * target // 10)), [F.col("x").desc(), F.col("c_custkey")], ["c_nationkey"])
 
 
-@query("maximin_order")
+@query("maximin_order", """
+WITH RECURSIVE v AS (SELECT vec_id AS k, label, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT k, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+f AS (SELECT label, 0::BIGINT AS place, arg_min(e, k) AS last, min(k) AS vec_id, list({'k': k, 'e': e, 'far': 1e9} ORDER BY k) AS m FROM n GROUP BY 1
+UNION ALL SELECT label, place + 1, list_filter(m, lambda q: q.k = b)[1].e, b, m FROM (SELECT label, place, m, list_filter(m, lambda q: round(q.far, 12) = list_max(list_transform(m, lambda r: round(r.far, 12))))[1].k AS b FROM (
+  SELECT label, place, list_transform(list_filter(f.m, lambda q: q.k <> f.vec_id), lambda q: {'k': q.k, 'e': q.e, 'far': least(q.far, 1 - list_dot_product(q.e, f.last))}) AS m FROM f WHERE place < 9)) WHERE b IS NOT NULL)
+SELECT place, vec_id, label FROM f""")
 def maximin_order(spark, d):
     return greedy.maximin_order(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 10)
 
@@ -70,13 +85,24 @@ def map_elites_core(spark, d):
     return R.top_n(p, 1, [F.col("p_retailprice").desc(), F.col("p_partkey")], ["p_type", "bucket"]).select("p_type", "bucket", "p_partkey")
 
 
-@query("map_elites_capped")
+@query("map_elites_capped", """
+WITH RECURSIVE p AS (SELECT p_partkey, p_type || '|' || p_size // 10 AS cell, p_brand, p_name, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS i FROM part),
+f AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS cells, []::VARCHAR[] AS brands, []::VARCHAR[] AS names, []::BIGINT[] AS keys
+UNION ALL SELECT i, CASE WHEN ok THEN list_append(cells, cell) ELSE cells END, CASE WHEN ok THEN list_append(brands, p_brand) ELSE brands END, CASE WHEN ok THEN list_append(names, p_name) ELSE names END, CASE WHEN ok THEN list_append(keys, p_partkey) ELSE keys END FROM (
+  SELECT p.*, f.cells, f.brands, f.names, f.keys, NOT list_contains(f.cells, p.cell) AND NOT list_contains(f.names, p.p_name) AND len(list_filter(f.brands, lambda b: b = p.p_brand)) < 5 AS ok FROM f JOIN p ON p.i = f.i + 1))
+SELECT unnest(arg_max(keys, i)) AS p_partkey FROM f""")
 def map_elites_capped(spark, d):
     p = table(spark, d, "part").withColumn("bucket", F.expr("p_size div 10").cast("int"))
     return greedy.map_elites(p, ["p_type", "bucket"], "p_partkey", "p_retailprice", "p_brand", 5, "p_name")
 
 
-@query("marginal_gain_select")
+@query("marginal_gain_select", """
+WITH RECURSIVE v AS (SELECT vec_id AS k, label, embedding::DOUBLE[] AS e, (vec_id * 37 % 101)::DOUBLE AS s FROM embeddings),
+n AS (SELECT k, label, s, cume_dist() OVER (PARTITION BY label ORDER BY s) AS pct, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+f AS (SELECT label, -1::BIGINT AS place, NULL::BIGINT AS vec_id, NULL::DOUBLE AS gain, list({'k': k, 'e': e, 's': s, 'pct': pct, 'near': 0.0::DOUBLE} ORDER BY s DESC, k) AS m FROM n GROUP BY 1
+UNION ALL SELECT label, place + 1, b.k, round(b.pct * (1 - b.near), 12), list_transform(list_filter(m, lambda q: q.k <> b.k), lambda q: {'k': q.k, 'e': q.e, 's': q.s, 'pct': q.pct, 'near': greatest(q.near, list_dot_product(q.e, b.e))}) FROM (
+  SELECT label, place, m, list_filter(m, lambda q: round(q.pct * (1 - q.near), 12) = list_max(list_transform(m, lambda r: round(r.pct * (1 - r.near), 12))))[1] AS b FROM f WHERE place < 4 AND len(m) > 0))
+SELECT place, vec_id, gain FROM f WHERE place >= 0""")
 def marginal_gain_select(spark, d):
     v = table(spark, d, "embeddings").withColumn("score", F.pmod(F.col("vec_id") * 37, F.lit(101)).cast("double"))
     return greedy.marginal_gain(v, ["label"], "vec_id", "embedding", "score", 5)
@@ -111,7 +137,7 @@ def signature_dedup(spark, d):
     return dedup.by_signature(v, "v", 0.2, ["vec_id"]).select("vec_id")
 
 
-@query("greedy_spatial_dedup")
+@query("greedy_spatial_dedup", thinned("c_custkey", 200) + "SELECT unnest(arg_max(m, i)).k AS c_custkey FROM f GROUP BY g")
 def greedy_spatial_dedup(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 1000).cast("double").alias("y"))
     return greedy.spatial_dedup(c, ["c_nationkey"], [], "c_custkey", "x", "y", 200.0)
@@ -130,7 +156,11 @@ def spacing_thinning(spark, d):
     return greedy.spatial_dedup(s, [], [], "s_suppkey", "x", "y", 120.0)
 
 
-@query("near_dup_cloud")
+@query("near_dup_cloud", """
+WITH RECURSIVE s AS (SELECT s_suppkey AS k, s_nationkey AS g, s_acctbal::DOUBLE AS x, 100.0::DOUBLE + s_suppkey % 900 AS w, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),
+f AS (SELECT DISTINCT g, 0::BIGINT AS i, []::STRUCT(k BIGINT, x DOUBLE, w DOUBLE)[] AS m FROM s
+UNION ALL SELECT s.g, s.i, CASE WHEN len(list_filter(f.m, lambda q: abs(q.x - s.x) < 0.25 * least(q.w, s.w))) = 0 THEN list_append(f.m, {'k': s.k, 'x': s.x, 'w': s.w}) ELSE f.m END FROM f JOIN s ON s.g = f.g AND s.i = f.i + 1)
+SELECT unnest(arg_max(m, i)).k AS s_suppkey FROM f GROUP BY g""")
 def near_dup_cloud(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").alias("x"), F.lit(0.0).alias("y"), (100.0 + F.col("s_suppkey") % 900).alias("w"))
     return greedy.near_dup_cloud(s, ["s_nationkey"], "s_suppkey", "x", "y", "w")
@@ -148,7 +178,13 @@ def medoid_clusters(spark, d):
     return greedy.medoid_clusters(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 0.35)
 
 
-@query("distinct_looks")
+@query("distinct_looks", """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+n AS (SELECT vec_id, label, i, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+f AS (SELECT DISTINCT label, 0::BIGINT AS i, NULL::BIGINT AS vec_id, NULL::BOOLEAN AS fresh, []::DOUBLE[][] AS m FROM n
+UNION ALL SELECT label, i, vec_id, fresh, CASE WHEN fresh THEN list_append(m, e) ELSE m END FROM (
+  SELECT n.label, n.i, n.vec_id, n.e, f.m, len(list_filter(f.m, lambda q: list_dot_product(q, n.e) >= 0.974)) = 0 AS fresh FROM f JOIN n ON n.label = f.label AND n.i = f.i + 1))
+SELECT vec_id, fresh FROM f WHERE i > 0""")
 def distinct_looks(spark, d):
     return greedy.distinct_looks(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 0.974)
 
@@ -233,6 +269,10 @@ def pair_classes(spark, d):
     return both.select(F.explode(F.create_map(F.lit("sampler_dup"), "same", F.lit("perceptual_collapse"), "other")).alias("class", "n")).where("n > 0").select("class", F.col("n").cast("long").alias("n"))
 
 
-@query("spaced_pool")
+@query("spaced_pool", """
+WITH RECURSIVE c AS (SELECT c_custkey AS k, c_nationkey AS g, c_acctbal::DOUBLE AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
+f AS (SELECT DISTINCT g, 0::BIGINT AS i, []::STRUCT(k BIGINT, x DOUBLE)[] AS m FROM c
+UNION ALL SELECT c.g, c.i, CASE WHEN len(f.m) < 12 AND len(list_filter(f.m, lambda q: abs(q.x - c.x) < 300)) = 0 THEN list_append(f.m, {'k': c.k, 'x': c.x}) ELSE f.m END FROM f JOIN c ON c.g = f.g AND c.i = f.i + 1)
+SELECT unnest(arg_max(m, i)).k AS c_custkey FROM f GROUP BY g""")
 def spaced_pool(spark, d):
     return greedy.spaced_pool(table(spark, d, "customer"), "c_nationkey", "c_custkey", "c_acctbal", 300.0, 12)
