@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -119,6 +119,29 @@ def average_hash(values: Column) -> Column:
     return F.aggregate(v, start, step, lambda acc: acc["h"])
 
 
+def dct_hash(rows: DataFrame, key: str, grid: str, side: int, keep: int) -> DataFrame:
+    """key and h: whether each of the lowest keep x keep cosine sums of a flattened side x side grid is over their median.
+
+    The median leaves out the first row of sums; the first sum gives the highest of keep^2 bits (at most 63). Grids of
+    another size, or with a null, have no hash.
+    """
+    wave = np.cos(np.pi * (2 * np.arange(keep)[:, None] + 1) * np.arange(side)[None] / (2 * side))
+    weights = np.array([1 << (keep * keep - 1 - i) for i in range(keep * keep)], np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            f = f[[v is not None and len(v) == side * side and not np.isnan(np.asarray(v, float)).any() for v in f[grid]]]
+            if not len(f):
+                continue
+            a = np.array(f[grid].tolist(), np.float64).reshape(-1, side, side)
+            sums = wave @ a @ wave.T
+            middle = np.median(sums[:, 1:].reshape(len(a), -1), axis=1)
+            yield pd.DataFrame({key: f[key].to_numpy(), "h": (sums.reshape(len(a), -1) > middle[:, None]) @ weights})
+
+    hashed = rows.select(key, grid).mapInPandas(run, f"{key} long, h long")
+    return rows.select(key).join(hashed, key, "left")
+
+
 def kmeans(rows: DataFrame, vec: str, k: int, rounds: int = 10, seed: int = 7) -> DataFrame:
     """rows with cell and distance, by Spark's k-means (k-means|| start, fixed seed)."""
     from pyspark.ml.clustering import KMeans

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quarry.streaming.replay import Budget, ProbeGovernor
+
 
 def fold(rows: DataFrame, groups: Sequence[str], order: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str, ascending: Sequence[bool] | bool = True) -> DataFrame:
     """step of each group's rows in order; without groups all rows are one group."""
@@ -233,3 +235,28 @@ def spaced_pool(rows: DataFrame, group: str, key: str, value: str, spacing: floa
         return pd.DataFrame({key: f[key].iloc[kept].astype("int64")})
 
     return fold(rows, [group], [key], step, f"{key} long")
+
+
+def governed(rows: DataFrame, group: str, key: str, cell: str, rate: int, window: int, ttl: int) -> DataFrame:
+    """key and allowed, of each group's rows in key order, a row a step: what ProbeGovernor lets through."""
+
+    def step(f: pd.DataFrame) -> pd.DataFrame:
+        governor = ProbeGovernor(rate, window, ttl)
+        return pd.DataFrame({key: f[key], "allowed": [governor.allow(c, now) for now, c in enumerate(f[cell])]})
+
+    return fold(rows, [group], [key], step, f"{key} long, allowed boolean")
+
+
+def within_budget(rows: DataFrame, group: str, key: str, cost: str, total: float) -> DataFrame:
+    """key and spent of each group's rows, in key order, that are run before the next is expected to overrun the total."""
+
+    def step(f: pd.DataFrame) -> pd.DataFrame:
+        budget, out = Budget(total), []
+        for k, c in zip(f[key], f[cost], strict=True):
+            if not budget.fits():
+                break
+            budget.charge(float(c))
+            out.append((k, budget.spent))
+        return pd.DataFrame(out, columns=[key, "spent"])
+
+    return fold(rows, [group], [key], step, f"{key} long, spent double")

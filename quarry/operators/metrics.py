@@ -148,13 +148,19 @@ def surfacing(rows: DataFrame, query: str, good: str, score: str, item: str, k:
     return per.agg(F.avg("_top").alias("top1_good"), F.avg("_any").alias("topk_contains"), F.avg("_recall").alias("recall_at_k"), F.avg("_share").alias("random"))
 
 
+def _draw(*parts: object) -> Column:
+    """28 bits of the md5 of parts joined by bars, which any engine can reproduce."""
+    text = F.concat_ws("|", *((p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
 def bootstrap(rows: DataFrame, cluster: str, value: str, replicates: int, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Mean and percentile interval over resampled clusters.
 
     Poisson(1) weights from a hash of cluster and replicate stand for resampling, so it is one pass and a small aggregation.
     """
     sums = rows.groupBy(cluster).agg(F.sum(value).cast("double").alias("_s"), F.count(value).alias("_n"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_r", cluster), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = (_draw(seed, F.col("_r"), F.col(cluster)) + 0.5) / float(1 << 28)
     weight, p, c = F.lit(0), np.exp(-1.0), np.exp(-1.0)
     for k in range(1, 9):  # the inverse of Poisson(1)'s distribution; beyond 8 its chance is 1e-6
         weight = weight + (u > float(c)).cast("int")
@@ -174,7 +180,7 @@ def permutation_p(rows: DataFrame, x: str, y: str, replicates: int, seed: int =
     """
     own = rows.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).withColumn("_i", F.row_number().over(W.orderBy("_x", "_y")))
     many = own.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    turn = F.row_number().over(W.partitionBy("_r").orderBy(F.xxhash64(F.lit(seed), "_r", "_i"), "_i"))
+    turn = F.row_number().over(W.partitionBy("_r").orderBy(_draw(seed, F.col("_r"), F.col("_i")), "_i"))
     shuffled = many.select(F.col("_r").alias("_s"), F.when(F.col("_r") == 0, F.col("_i")).otherwise(turn).alias("_j"), F.col("_y").alias("_z"))
     stat = many.join(shuffled, (F.col("_r") == F.col("_s")) & (F.col("_i") == F.col("_j"))).groupBy(F.col("_r").alias("r")).agg(F.sum(F.col("_x") * F.col("_z")).alias("s"))
     seen = F.max(F.when(F.col("r") == 0, F.col("s"))).over(W.partitionBy())
@@ -183,7 +189,7 @@ def permutation_p(rows: DataFrame, x: str, y: str, replicates: int, seed: int =
 
 def split_half(rows: DataFrame, unit: str, item: str, value: str, splits: int, seed: int = 0) -> DataFrame:
     """Median over hash halves of units of the rank correlation of the items' means in either half."""
-    half = F.pmod(F.xxhash64(F.lit(seed), "_r", unit), F.lit(2))
+    half = _draw(seed, F.col("_r"), F.col(unit)) % 2
     many = rows.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(splits)))).withColumn("_h", half)
     means = many.groupBy("_r", item).agg(F.avg(F.when(F.col("_h") == 0, F.col(value))).alias("a"), F.avg(F.when(F.col("_h") == 1, F.col(value))).alias("b")).where("a is not null and b is not null")
     ranks = means.select("_r", average_rank(F.col("a"), ["_r"]).alias("ra"), average_rank(F.col("b"), ["_r"]).alias("rb"))

@@ -115,7 +115,28 @@ def colour_luma(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(y, 6).alias("luma"), (y * 255 >= 70).alias("bright"))
 
 
-@query("ciede2000")
+def lab_sql(name: str, r: str, g: str, b: str) -> str:
+    """SQL of the columns l, a and b (with a suffix) of linear light."""
+    f = [f"({' + '.join(f'{k!r} * {c}' for k, c in zip(row, (r, g, b), strict=True))}) / {white!r}" for row, white in zip(color.SRGB_XYZ, color.WHITE, strict=True)]
+    x, y, z = (f"(CASE WHEN {t} > {216 / 24389!r} THEN cbrt({t}) ELSE ({24389 / 27!r} * {t} + 16) / 116 END)" for t in (f"({v})::DOUBLE" for v in f))
+    return f"116 * {y} - 16 AS l{name}, 500 * ({x} - {y}) AS a{name}, 200 * ({y} - {z}) AS b{name}"
+
+
+LIGHT = "CASE WHEN {0} <= 0.04045 THEN {0} / 12.92::DOUBLE ELSE pow(({0} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS {0}"
+HUE = "CASE WHEN {0} = 0 AND {1} = 0 THEN 0 WHEN atan2({0}, {1}) < 0 THEN degrees(atan2({0}, {1})) + 360 ELSE degrees(atan2({0}, {1})) END"
+
+
+@query("ciede2000", f"""
+WITH p AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS r, p_partkey % 256 / 255.0::DOUBLE AS g, p_partkey * 7 % 256 / 255.0::DOUBLE AS b FROM part),
+i AS (SELECT p_partkey, {LIGHT.format("r")}, {LIGHT.format("g")}, {LIGHT.format("b")} FROM p), lab AS (SELECT p_partkey, {lab_sql("1", "r", "g", "b")}, {lab_sql("2", "b", "r", "g")} FROM i),
+s AS (SELECT *, pow((sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2, 7) AS m FROM lab), t AS (SELECT *, a1 * (1.5 - 0.5 * sqrt(m / (m + 6103515625))) AS x1, a2 * (1.5 - 0.5 * sqrt(m / (m + 6103515625))) AS x2 FROM s),
+u AS (SELECT *, sqrt(x1 * x1 + b1 * b1) AS c1, sqrt(x2 * x2 + b2 * b2) AS c2, {HUE.format("b1", "x1")} AS h1, {HUE.format("b2", "x2")} AS h2 FROM t),
+v AS (SELECT *, (c1 + c2) / 2 AS c, (l1 + l2) / 2 AS l, CASE WHEN c1 * c2 = 0 THEN 0 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 WHEN h2 - h1 < -180 THEN h2 - h1 + 360 ELSE h2 - h1 END AS dh,
+  CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS h FROM u),
+w AS (SELECT *, 1 - 0.17 * cos(radians(h - 30)) + 0.24 * cos(radians(2 * h)) + 0.32 * cos(radians(3 * h + 6)) - 0.2 * cos(radians(4 * h - 63)) AS t, -2 * sqrt(pow(c, 7) / (pow(c, 7) + 6103515625)) * sin(radians(60 * exp(-pow((h - 275) / 25, 2)))) AS rt,
+  (l2 - l1) / (1 + 0.015 * pow(l - 50, 2) / sqrt(20 + pow(l - 50, 2))) AS dl, (c2 - c1) / (1 + 0.045 * c) AS dc FROM v),
+x AS (SELECT *, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * c * t) AS hue FROM w)
+SELECT p_partkey, round(sqrt(dl * dl + dc * dc + hue * hue + rt * dc * hue), 6) AS de FROM x""")
 def ciede2000(spark, d):
     a, b = color.cielab(*rgb()), color.cielab(rgb()[2], rgb()[0], rgb()[1])
     p = table(spark, d, "part").select("p_partkey", *(x.alias(n) for x, n in zip([*a, *b], ("l1", "a1", "b1", "l2", "a2", "b2"), strict=True)))

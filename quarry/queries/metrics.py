@@ -9,6 +9,7 @@ from quarry.functions.columns import wilson
 from quarry.operators import metrics as M
 from quarry.registry import query, table
 
+DRAW = "('0x' || substr(md5('0|' || {} || '|' || {}), 1, 7))::BIGINT"
 SCORED = "(SELECT doc_id, lang, source, quality AS y, (n_chars % 97) / 97.0 AS s FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
 
 
@@ -23,9 +24,13 @@ def unit_split(spark, d):
     return M.stratified_split(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", 0.2).select("c_custkey", "side")
 
 
-@query("linked_unit_split")
+@query("linked_unit_split", """
+WITH u AS (SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component, o_orderpriority FROM orders),
+o AS (SELECT component, arg_min(o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END || o_orderpriority) AS o_orderpriority FROM u GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(component::VARCHAR), component) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM o)
+SELECT o_orderkey, component, r.o_orderpriority, CASE WHEN rn <= round_even(0.25 * n, 0) THEN 'eval' ELSE 'train' END AS side FROM u JOIN r USING (component)""")
 def linked_unit_split(spark, d):
-    """Orders of customers that share a supplier's part in one order are one unit; units fall wholly on one side."""
+    """A customer's orders are linked into one unit; units fall wholly on one side."""
     from quarry.operators.cluster import components
 
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -124,7 +129,11 @@ def loo_fbeta(spark, d):
     return out.withColumn("f", F.round("f", 6))
 
 
-@query("partition_thresholds")
+@query("partition_thresholds", f"""
+WITH s AS {SCORED}, n AS (SELECT lang, count(*) AS n, sum(y)::BIGINT AS positives FROM s GROUP BY 1), c AS (SELECT round(0.02 + i * 0.01, 4)::DOUBLE AS t FROM range(0, 97) r(i)),
+g AS (SELECT lang, t, count(*) FILTER (y = 1 AND s >= t - 1e-11) AS tp, count(*) FILTER (y = 0 AND s >= t - 1e-11) AS fp, count(*) FILTER (y = 1 AND s < t - 1e-11) AS fn FROM s, c GROUP BY 1, 2),
+f AS (SELECT lang, t, round(coalesce(1.25 * tp / nullif(1.25 * tp + 0.25 * fn + fp, 0), 0), 12)::DOUBLE AS f FROM g), b AS (SELECT lang, max(f) AS f FROM f GROUP BY 1), x AS (SELECT lang, max(t) AS t, f FROM f JOIN b USING (lang, f) GROUP BY lang, f)
+SELECT lang, n, positives, CASE WHEN positives >= 15 THEN t END AS t, round(f, 6) AS f, CASE WHEN positives >= 15 THEN 'DERIVED' ELSE 'UNCALIBRATED' END AS status FROM n JOIN x USING (lang)""")
 def partition_thresholds(spark, d):
     """Per language: positives, the best threshold, DERIVED or UNCALIBRATED (under 15 positives)."""
     rows = scored(spark, d)
@@ -159,18 +168,29 @@ def wilson_interval(spark, d):
     return c.select("lang", "n", "k", low.alias("low"), high.alias("high"))
 
 
-@query("cluster_bootstrap")
+@query("cluster_bootstrap", f"""
+WITH k AS (SELECT l_orderkey AS k, sum(l_discount)::DOUBLE AS s, count(l_discount) AS n FROM lineitem GROUP BY 1), p AS (SELECT j, sum(exp(-1) / factorial(j::INTEGER)) OVER (ORDER BY j) AS c FROM range(0, 9) r(j)),
+u AS (SELECT r, s, n, ({DRAW.format("r", "k")} + 0.5::DOUBLE) / 268435456 AS u FROM k, range(1, 201) t(r)), w AS (SELECT r, s, n, len(list_filter((SELECT list(c ORDER BY j) FROM p WHERE j < 8), lambda c: u > c)) AS w FROM u),
+m AS (SELECT r, sum(w * s) / sum(w * n) AS m FROM w GROUP BY 1)
+SELECT round(avg(l_discount), 6)::DOUBLE AS mean, (SELECT round(quantile_cont(m, 0.025), 6) FROM m) AS low, (SELECT round(quantile_cont(m, 0.975), 6) FROM m) AS high FROM lineitem""")
 def cluster_bootstrap(spark, d):
     out = M.bootstrap(table(spark, d, "lineitem"), "l_orderkey", "l_discount", 200)
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-@query("permutation_p")
+@query("permutation_p", f"""
+WITH o AS (SELECT s_acctbal::DOUBLE AS x, s_nationkey::DOUBLE AS y, row_number() OVER (ORDER BY s_acctbal, s_nationkey) AS i FROM supplier), m AS (SELECT r, i, y, row_number() OVER (PARTITION BY r ORDER BY {DRAW.format("r", "i")}, i) AS j FROM o, range(1, 201) t(r)),
+s AS (SELECT r, sum(o.x * m.y) AS s FROM m JOIN o ON o.i = m.j GROUP BY 1)
+SELECT (count(*) FILTER (s >= (SELECT sum(x * y) FROM o) - 1e-9) + 1) / (count(*) + 1) AS p FROM s""")
 def permutation_p(spark, d):
     return M.permutation_p(table(spark, d, "supplier"), "s_acctbal", "s_nationkey", 200)
 
 
-@query("split_half_stability")
+@query("split_half_stability", f"""
+WITH h AS (SELECT r, l_suppkey, l_extendedprice::DOUBLE AS v, {DRAW.format("r", "l_orderkey")} % 2 AS h FROM lineitem, range(1, 11) t(r)),
+m AS (SELECT r, avg(v) FILTER (h = 0) AS a, avg(v) FILTER (h = 1) AS b FROM h GROUP BY r, l_suppkey HAVING a IS NOT NULL AND b IS NOT NULL),
+k AS (SELECT r, rank() OVER (PARTITION BY r ORDER BY a) + (count(*) OVER (PARTITION BY r, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY r ORDER BY b) + (count(*) OVER (PARTITION BY r, b) - 1) / 2 AS rb FROM m),
+c AS (SELECT r, corr(ra, rb) AS rho FROM k GROUP BY 1) SELECT round(median(rho), 6) AS median_rho, count(rho) AS splits FROM c""")
 def split_half_stability(spark, d):
     out = M.split_half(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_extendedprice", 10)
     return out.withColumn("median_rho", F.round("median_rho", 6))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions import backends
-from quarry.operators import greedy
+from quarry.functions import backends, fields
+from quarry.operators import cluster, greedy
 from quarry.plans import frontier
 from quarry.plans import state as P
 from quarry.registry import query, table
@@ -178,3 +178,42 @@ def sink_classes(spark, d):
     policy = sinks.SinkPolicy({k: f"{root}/{k}" for k in sinks.CLASSES})
     read = [spark.read.parquet(policy.write(o, k, "orders")).select(F.lit(k).alias("kind")) for k in sinks.CLASSES]
     return read[0].union(read[1]).union(read[2]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("dct_hash", """
+WITH s AS (SELECT vec_id, list_transform(range(0, 16), lambda t: list_sum(list_transform(range(0, 64), lambda x: embedding[x + 1]::DOUBLE * cos(pi() * (2 * (t // 4) + 1) * (x // 8) / 16) * cos(pi() * (2 * (t % 4) + 1) * (x % 8) / 16)))) AS s FROM embeddings)
+SELECT vec_id, list_sum(list_transform(range(0, 16), lambda t: CASE WHEN s[t + 1] > list_median(s[5:16]) THEN (1 << (15 - t)) ELSE 0 END))::BIGINT AS h FROM s""")
+def dct_hash(spark, d):
+    return cluster.dct_hash(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 8, 4)
+
+
+@query("probe_governor", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, floor(value / 10) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+f AS (SELECT DISTINCT user_id, -1::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS allowed, []::STRUCT(c DOUBLE, i BIGINT)[] AS m FROM e
+UNION ALL SELECT user_id, i, event_id, ok, CASE WHEN ok THEN list_append(m, {'c': c, 'i': i}) ELSE m END FROM (
+  SELECT e.*, f.m, len(list_filter(f.m, lambda q: e.i - q.i < 6)) < 3 AND len(list_filter(f.m, lambda q: q.c = e.c AND e.i - q.i < 12)) = 0 AS ok FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT event_id, allowed FROM f WHERE i >= 0""")
+def probe_governor(spark, d):
+    """A user's events as probes of cells of ten values: three in six steps, none into a cell of the last twelve."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.floor(F.col("value") / 10).alias("cell"))
+    return greedy.governed(e, "user_id", "event_id", "cell", rate=3, window=6, ttl=12)
+
+
+@query("budgeted_batches", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0::DOUBLE AS spent, 0::DOUBLE AS est FROM e
+UNION ALL SELECT e.user_id, e.i, e.event_id, f.spent + e.v, CASE WHEN f.spent = 0 THEN e.v ELSE 0.5 * f.est + 0.5 * e.v END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1 WHERE f.spent + f.est <= 400)
+SELECT event_id, round(spent, 4) AS spent FROM f WHERE i > 0""")
+def budgeted_batches(spark, d):
+    """A user's events as batches with a cost each, under a budget a user."""
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    return greedy.within_budget(e, "user_id", "event_id", "value", 400.0).withColumn("spent", F.round("spent", 4))
+
+
+@query("seeded_stream", """
+WITH m AS (SELECT doc_id, 18446744073709551616::UHUGEINT AS w, (doc_id::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM documents),
+a AS (SELECT doc_id, w, (xor(z, z >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT) % w AS z FROM m), b AS (SELECT doc_id, (xor(z, z >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT) % w AS z FROM a)
+SELECT doc_id, xor(z, z >> 31::UHUGEINT)::VARCHAR AS draw FROM b""")
+def seeded_stream(spark, d):
+    """The first draw of a SplitMix64 generator seeded with each doc_id."""
+    return table(spark, d, "documents").select("doc_id", fields.first_draw("doc_id").alias("draw"))
