@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,22 +27,58 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int = 50) -> DataFrame:
-    """key and component (its smallest key) of all nodes over undirected edges (a, b).
+def components(nodes: DataFrame, edges: DataFrame, key: str, few: int = 1_000_000) -> DataFrame:
+    """key (a long) and component (its smallest key) of all nodes over undirected edges (a, b).
 
-    Min-label rounds with shortcuts; labels are a written table after each round, so a lost executor costs one round.
+    Each task first connects what its own edges connect. If no more than `few` edges are left, one task connects them;
+    else large-star and small-star rounds alternate until no edge changes, however long the chains are. Each round's
+    edges are a written table, so a lost executor costs one round.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = written(nodes.select(F.col(key).alias("k"), F.col(key).alias("c")))
-    for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("k")).groupBy("a").agg(F.min("c").alias("m"))
-        hooked = labels.join(near, F.col("k") == F.col("a"), "left").select("k", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
-        jump = labels.select(F.col("k").alias("_k"), F.col("c").alias("_c"))
-        after = written(hooked.join(jump, F.col("n") == F.col("_k")).select("k", "c", F.least("n", "_c").alias("n")))
-        if not after.where("n < c").limit(1).count():
-            return after.select(F.col("k").alias(key), F.col("n").alias("component"))
-        labels = after.select("k", F.col("n").alias("c"))
-    raise RuntimeError("components did not converge")
+    ends = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("hi"), F.least("a", "b").cast("long").alias("lo"))
+    now = written(ends.mapInArrow(_stars, "hi long, lo long").distinct())
+    if now.count() <= few:
+        now = written(now.coalesce(1).mapInArrow(lambda batches: _stars(batches, few + 1), "hi long, lo long"))
+    else:
+        state = None
+        while (seen := now.agg(F.count("*"), *(F.sum(F.xxhash64("hi", "lo", F.lit(turn)).cast("decimal(20,0)")) for turn in (1, 2))).first()) != state:
+            state = seen
+            both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
+            least = lambda df, u, v: df.join(df.groupBy(F.col(u).alias("k")).agg(F.min(v).alias("m")), F.col(u) == F.col("k"))
+            large = least(both, "u", "v").where("v > u").select(F.col("v").alias("hi"), F.least("m", "u").alias("lo")).distinct()
+            small = least(large, "hi", "lo").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
+            now = written(small.select("e.*").where("hi <> lo").distinct())
+    return nodes.select(key).join(now, F.col(key) == F.col("hi"), "left").select(key, F.coalesce("lo", key).alias("component"))
+
+
+def _stars(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Edges (hi, lo) that connect the same nodes as the given ones: from each node to the smallest that a run of `rows` edges reaches."""
+
+    def star(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(kept)
+        hi, lo = table.column("hi").to_numpy(), table.column("lo").to_numpy()
+        nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+        a, b, root = at[: len(hi)], at[len(hi) :], np.arange(len(nodes))
+        while True:
+            low, before = np.minimum(root[a], root[b]), root.copy()
+            for end in (before[a], before[b]):
+                np.minimum.at(root, end, low)
+            while (root[root] != root).any():
+                root = root[root]
+            if (root == before).all():
+                break
+        moved = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["hi", "lo"])
+
+    kept: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        kept.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield star(kept)
+            kept, n = [], 0
+    if n:
+        yield star(kept)
 
 
 def single_linkage(rows: DataFrame, key: str, vec: str, least: float, groups: Sequence[str], block: int = 512) -> DataFrame:

@@ -42,6 +42,19 @@ def near_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y: str,
     return left.join(right, on).where(dx * dx + dy * dy <= radius * radius).drop("_c", "_i", "_j")
 
 
+def line_links(rows: DataFrame, key: str, x: str, radius: float) -> DataFrame:
+    """Edges (a, b) that connect what the pairs with |x - x'| <= radius connect, at most one for each row and three for each cell.
+
+    Cells are half a radius wide: all rows of one are linked, so each goes to its cell's smallest key, and the nearest
+    ends of two cells decide for both. Rows whose x is null or not finite link with nothing.
+    """
+    placed = rows.where(F.abs(F.col(x)) < float("inf")).select(F.col(key).alias("k"), F.col(x).alias("x"), F.floor(F.col(x) / (radius / 2)).alias("c"))
+    cells = placed.groupBy("c").agg(F.min("k").alias("b"), F.min("x").alias("low"), F.max("x").alias("high"))
+    inner = placed.select("k", "c").join(cells.select("c", "b"), "c").where("k <> b").select(F.col("k").alias("a"), "b")
+    left = cells.select(F.col("b").alias("a"), "high", F.explode(F.array(*(F.col("c") + i for i in (1, 2, 3)))).alias("c"))
+    return inner.union(left.join(cells.select("c", "b", "low"), "c").where(F.col("low") - F.col("high") <= radius).select("a", "b"))
+
+
 def viewport_neighbours(rows: DataFrame, key: str, x: str, y: str, width: str, lo: float = 1 / 1.5, hi: float = 1.5, shift: float = 0.5) -> DataFrame:
     """Pairs key < o_key whose widths' ratio lies in [lo, hi] and whose distance is at most shift x the smaller width.
 

@@ -211,11 +211,10 @@ def component_representatives(spark, d):
 WITH RECURSIVE s AS (SELECT s_suppkey, s_acctbal AS x FROM supplier), l AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM s a JOIN s b ON a.s_suppkey <> b.s_suppkey AND abs(a.x - b.x) <= 40),
 c AS (SELECT s_suppkey, s_suppkey AS r FROM s UNION SELECT l.b, c.r FROM c JOIN l ON c.s_suppkey = l.a WHERE c.r < l.b) SELECT s_suppkey, min(r) AS component FROM c GROUP BY 1""")
 def viewport_groups(spark, d):
-    from quarry.operators.joins import near_pairs
+    from quarry.operators.joins import line_links
 
-    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), F.lit(0.0).alias("y"))
-    edges = near_pairs(s, s, [], "x", "y", 40.0).where("s_suppkey < o_s_suppkey").select(F.col("s_suppkey").alias("a"), F.col("o_s_suppkey").alias("b"))
-    return cluster.components(s, edges, "s_suppkey")
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"))
+    return cluster.components(s, line_links(s, "s_suppkey", "x", 40.0), "s_suppkey")
 
 
 @query("agglomerative_cuts")

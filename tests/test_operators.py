@@ -164,6 +164,28 @@ def test_neighbours_against_all_pairs(spark):
     assert near == {(a[0], b[0]) for a in pts for b in pts if (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= 1}
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_of_long_chains(spark, few):
+    """Chains in random order of keys, longer than rounds of neighbours' minima can follow, and a hub."""
+    order = np.random.default_rng(1).permutation(5000).tolist()
+    edges = [(a, b) for a, b in zip(order, order[1:], strict=False)] + [(9000, 9000 + i) for i in range(1, 500)] + [(9000, 9000), (None, 3)]
+    nodes = spark.createDataFrame([(k,) for k in [*range(5000), *range(9000, 9500), 20000]], "k long")
+    got = {r["k"]: r["component"] for r in cluster.components(nodes, spark.createDataFrame(edges, "a long, b long"), "k", few).collect()}
+    assert got == {k: 0 if k < 5000 else 9000 if k < 9500 else k for k in got} and len(got) == 5501
+
+
+def test_line_links_connect_what_pairs_connect(spark):
+    x = [*np.random.default_rng(2).uniform(-500, 500, 150).round(2).tolist(), *(40.0 * i for i in range(30, 40)), 4000.0, 4040.01, None, float("nan"), float("inf"), float("inf")]
+    x += x[:50]
+    df = spark.createDataFrame(list(enumerate(x)), "k long, x double")
+    got = {r["k"]: r["component"] for r in cluster.components(df, joins.line_links(df, "k", "x", 9.0), "k").collect()}
+    want = dict(enumerate(range(len(x))))
+    for _ in x:
+        want = {i: min([want[i], *(want[j] for j in range(len(x)) if x[i] is not None and x[j] is not None and abs(x[i] - x[j]) <= 9.0)]) for i in want}
+    assert got == want
+    assert joins.line_links(spark.range(20_000).select(F.col("id").alias("k"), F.lit(1.5).alias("x")), "k", "x", 9.0).count() == 19_999
+
+
 def test_components_and_hamming(spark):
     nodes = spark.range(60).select(F.col("id").alias("k"))
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(40, 50)], "a long, b long")
