@@ -1,4 +1,4 @@
-"""SimHash near-duplicates with a generalised pigeonhole index."""
+"""SimHash near-duplicates: fingerprints within a radius by a generalised pigeonhole index, similar texts by prefixes of their sets."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -92,20 +93,55 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     return docs.withColumn(row, F.monotonically_increasing_id())
 
 
-def set_prints(docs: DataFrame, words: int, tables: int) -> DataFrame:
-    """row, doc_id, node (a name of the row's shingle set; null: no words), n (its size) and `tables` fingerprints of the set,
-    fp0, fp1, ..., for docs(row, doc_id, text)."""
+def common_shingles(docs: DataFrame, words: int, sample: int, most: int = 200_000) -> dict[int, int]:
+    """Shingles that several of about `sample` rows of docs(row, text) hold, the most frequent `most` of them, with their counts.
+
+    They only order shingles (see prefix), so what the sample misses costs time and no link.
+    """
+    total = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1_000_000)) < int(min(1.0, sample / max(total, 1)) * 1_000_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.concatenate([np.zeros(0, np.int64), *(shingle_set(t, words) for t in texts_of(batch.column("text")))])
+            for at in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 50_000])], names=["h"])
+
+    counted = some.select("text").mapInArrow(lean(run), "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most)
+    return {r["h"]: r["count"] for r in counted.toLocalIterator()}
+
+
+def prefix(distinct: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The n - ceil(similarity * n) + 1 first of a set's n hashes, in one order for all sets: rare ones first.
+
+    Two sets whose Jaccard similarity is that or more share at least one of these, whatever the order.
+    """
+    n = len(distinct)
+    keep = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    if not len(known) or not n:
+        return distinct[:keep]
+    at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+    often = np.where(known[at] == distinct, counts[at], 0)
+    return distinct[np.argsort(often, kind="stable")[:keep]]
+
+
+def set_prints(docs: DataFrame, words: int, tables: int, similarity: float, common: dict[int, int]) -> DataFrame:
+    """row, doc_id, node (a name of the row's shingle set; null: no words), n (its size), `tables` fingerprints of the set,
+    fp0, fp1, ..., its prefix and its three smallest hashes (least), for docs(row, doc_id, text)."""
     small_batches(docs.sparkSession)
     names = ["row", "doc_id", "node", "n", *(f"fp{i}" for i in range(tables))]
+    known = np.array(sorted(common), np.int64)
+    counts = np.array([common[h] for h in known.tolist()], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in texts_of(batch.column("text"))]
             made = [pa.array([set_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
             made += [pa.array([fingerprint(remixed(x, turn)) for x in sets], pa.int64()) for turn in range(tables)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *made], names=names)
+            made += [lists([prefix(x, similarity, known, counts) for x in sets]), lists([x[:3] for x in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *made], names=[*names, "prefix", "least"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
+    return docs.select("row", "doc_id", "text").mapInArrow(lean(run), ", ".join(f"{n} long" for n in names) + ", prefix array<long>, least array<long>")
 
 
 @dataclass(frozen=True)
@@ -470,53 +506,123 @@ def links_of(sets: pa.ListArray, root: np.ndarray, similarity: float) -> tuple[n
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def similar_classes(rows: DataFrame, classes: DataFrame, words: int, radius: int, both: int, similarity: float, tables: int, sample: int, block_rows: int, unit_rows: int, unit_hashes: int) -> DataFrame:
-    """(node, root) of the classes that are linked; classes: node, row, n (its set's size), fp0, fp1, ..."""
+def meetings(classes: DataFrame, keys: str, *order: str) -> DataFrame:
+    """A row for each hash in column `keys` of classes(node, root, n, fp, more), those of one hash together."""
+    rows = classes.select(F.explode(keys).alias("key"), "node", "root", "fp", "more", "n")
+    return rows.repartition("key").sortWithinPartitions("key", *order)
+
+
+def met(rows: DataFrame, radius: int, both: int, similarity: float, how: str, tile: int = 512) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots (ra, rb) that share a key, of sizes as similar as that, whose fp are within
+    `radius` bits and whose fp and more are within `both`.
+
+    how = "next": of each run of equal keys only the pairs of neighbours in its order. "all": all pairs; "stars": edges
+    that connect what all pairs connect. n says how many pairs an edge stands for. For the latter two, rows are in the
+    order of key and root; a long run is compared in squares of `tile` rows, and rows of one root not with each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_chunks(batches, ["key"], 100_000):
+            node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+            fp, more = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "more"))
+            starts = run_starts(table, ["key"])
+            found: list[np.ndarray] = []
+
+            def chosen() -> pa.RecordBatch:
+                a, b = np.concatenate(found, 1)
+                times = np.ones(len(a), np.int64)
+                if how == "stars":
+                    linked_to = np.bincount(np.concatenate([a, b]), minlength=len(node))
+                    a, b = local_star(len(node), a, b)
+                    times = linked_to[a]
+                found.clear()
+                a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
+                one = pd.DataFrame({"a": node[a], "b": node[b], "ra": root[a], "rb": root[b], "n": times}).groupby(["a", "b", "ra", "rb"], as_index=False, sort=False).max()
+                return pa.RecordBatch.from_pandas(one, preserve_index=False)
+
+            held = 0
+            for x, y in pairs_of_runs(root, starts, how == "next", tile):
+                ok = (root[x] != root[y]) & (n[x] >= similarity * n[y]) & (n[y] >= similarity * n[x])
+                x, y = x[ok], y[ok]
+                off = np.bitwise_count(fp[x] ^ fp[y])
+                ok = (off <= radius) & (off.astype(np.int64) + np.bitwise_count(more[x] ^ more[y]) <= both)
+                if ok.any():
+                    found.append(np.stack([x[ok], y[ok]]))
+                    held += int(ok.sum())
+                if held > HELD_PAIRS:
+                    yield chosen()
+                    held = 0
+            if held:
+                yield chosen()
+
+    return rows.mapInArrow(lean(run), "a long, b long, ra long, rb long, n long").groupBy("a", "b", "ra", "rb").agg(F.max("n").alias("n"))
+
+
+def pairs_of_runs(root: np.ndarray, starts: np.ndarray, neighbours: bool, tile: int, short: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same run (starts: where each begins), in parts; of a run of over `short` rows, sorted by root, only
+    those of different roots. neighbours: only pairs of rows that follow each other."""
+    sizes = np.diff(np.append(starts, len(root)))
+    end = np.repeat(starts + sizes, sizes)
+    idx = np.flatnonzero(np.repeat((sizes <= short) | neighbours, sizes))
+    for d in range(1, 2 if neighbours else short):
+        idx = idx[idx + d < end[idx]]
+        if not len(idx):
+            break
+        yield idx, idx + d
+    if neighbours:
+        return
+    for lo, n in zip(starts[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
+        after = np.searchsorted(root[lo : lo + n], root[lo : lo + n], "right")  # where the rows of the next root begin
+        for i in range(0, n, tile):
+            rows = np.arange(i, min(i + tile, n))
+            for j in range(int(after[i]), n, tile):
+                x, y = np.nonzero(np.arange(j, min(j + tile, n))[None] >= after[rows][:, None])
+                if len(x):
+                    yield x + (lo + i), y + (lo + j)
+
+
+def similar_classes(rows: DataFrame, classes: DataFrame, words: int, radius: int, both: int, similarity: float, tables: int, block_rows: int, unit_rows: int, unit_hashes: int) -> DataFrame:
+    """(node, root) of the classes that are linked; classes: node, row, n (its set's size), fp0, fp1, ..., prefix, least."""
     spark = rows.sparkSession
-    total = classes.count()
-    prints = lambda turn: classes.select("node", F.col(f"fp{turn}").alias("fp"), (F.col(f"fp{(turn + 1) % tables}") if tables > 1 else F.lit(0).cast("long")).alias("more"))
-    ways = [planned(prints(turn), total, radius, sample) for turn in range(tables)]
-    # what is linked to a nearest neighbour that shares a whole partition comes first: large groups become one, at a cost in proportion to their size
-    sole = Plan(ways[0].parts, tuple(0 for _ in ways[0].parts), radius, {})
-    sole = split_keys(prints(0), sole, total, block_rows)
-    close = Table(linked(probes(prints(0).withColumn("root", F.col("node")), sole), sole, 1, both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), narrow=True).df
+    kept = classes.select("node", "n", F.col("fp0").alias("fp"), (F.col("fp1") if tables > 1 else F.lit(0).cast("long")).alias("more"), "prefix", "least")
+    test = {"radius": radius, "both": both, "similarity": similarity, "tile": block_rows}
+    # neighbours among those that share one of their smallest hashes come first: large groups become one, at a cost in proportion to their size
+    close = Table(met(meetings(kept.withColumn("root", F.col("node")), "least", "fp", "node"), how="next", **test).select("a", "b"), narrow=True).df
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node"))
     first = Table(similar_pairs(sets_of(rows, classes, ends(close), words), close, similarity), narrow=True).df
     known = components(first).withColumnRenamed("node", "_n")
-    rooted = lambda turn: prints(turn).join(known, F.col("node") == F.col("_n"), "left").select("node", "fp", "more", F.coalesce("root", "node").alias("root"))
-    candidates = []
-    for turn in range(tables):
-        ways[turn] = split_keys(prints(turn), ways[turn], total, block_rows)
-        candidates.append(Table(linked(probes(rooted(turn), ways[turn]), ways[turn], None, both), narrow=True).df)
-        settled(spark)
-    met = reduce(DataFrame.union, candidates)
-    families = components(met, "ra", "rb").select(F.col("node").alias("_r"), F.col("root").alias("family"))
-    touched = met.select(F.col("a").alias("node"), F.col("ra").alias("root")).union(met.select("b", "rb")).distinct()
+    rooted = Table(kept.join(known, F.col("node") == F.col("_n"), "left").select("node", "n", "fp", "more", "prefix", F.coalesce("root", "node").alias("root"))).df
+    settled(spark)
+    found = Table(met(meetings(rooted, "prefix", "root", "node"), how="stars", **test), narrow=True).df
+    settled(spark)
+    families = components(found, "ra", "rb").select(F.col("node").alias("_r"), F.col("root").alias("family"))
+    touched = found.select(F.col("a").alias("node"), F.col("ra").alias("root")).union(found.select("b", "rb")).distinct()
     members = Table(touched.join(families, F.col("root") == F.col("_r")).join(classes.select("node", "n"), "node").select("node", "root", "family", "n"), narrow=True).df
     sets = sets_of(rows, classes, members, words)
     dealt, units = in_blocks(members, unit_rows, unit_hashes)
     dealt, units = Table(dealt, narrow=True).df, Table(units, narrow=True).df
     # a family goes by units if these move fewer sets than its links one by one would
     moved = dealt.groupBy("family").agg(F.count("*").alias("members")).join(units.groupBy(F.col("f").alias("family")).agg(F.count("*").alias("units")), "family")
-    n_links = met.join(families, F.col("ra") == F.col("_r")).groupBy("family").agg(F.sum("n").alias("links"))
+    n_links = found.join(families, F.col("ra") == F.col("_r")).groupBy("family").agg(F.sum("n").alias("links"))
     sparse = Table(moved.join(n_links, "family").where(F.col("units") * 2 * unit_rows > F.greatest(2 * F.col("members"), F.col("links"))).select("family"), narrow=True).df
     edges = first.union(Table(similar_in_units(dealt.join(sparse, "family", "left_anti"), units.join(sparse, units["f"] == sparse["family"], "left_anti"), sets, similarity), narrow=True).df)
     if not sparse.isEmpty():
         alone = Table(members.join(sparse, "family").select(F.col("node").alias("_m")), narrow=True).df
-        for turn in range(tables):
-            now = rooted(turn).join(alone, F.col("node") == F.col("_m"), "left_semi")
-            pairs = Table(linked(probes(now, ways[turn]), ways[turn], 0, both).select("a", "b"), narrow=True).df
-            edges = edges.union(Table(similar_pairs(sets, pairs, similarity), narrow=True).df)
+        now = rooted.join(alone, F.col("node") == F.col("_m"), "left_semi")
+        pairs = Table(met(meetings(now, "prefix", "root", "node"), how="all", **test).select("a", "b"), narrow=True).df
+        edges = edges.union(Table(similar_pairs(sets, pairs, similarity), narrow=True).df)
     settled(spark)
     return components(edges)
 
 
-def _similar(docs: DataFrame, words: int, tables: int, **how) -> tuple[DataFrame, DataFrame]:
+def _similar(docs: DataFrame, words: int, tables: int, sample: int, similarity: float, **how) -> tuple[DataFrame, DataFrame]:
     """row, doc_id and node of docs(row, doc_id, text), and the classes linked."""
-    prints = Table(set_prints(docs, words, tables)).df
+    tables = min(tables, 2)
+    prints = Table(set_prints(docs, words, tables, similarity, common_shingles(docs.select("row", "text"), words, sample))).df
     worded = prints.where("node is not null")
-    classes = Table(worded.groupBy("node").agg(F.min("row").alias("row"), F.max("n").alias("n"), *(F.max(f"fp{i}").alias(f"fp{i}") for i in range(tables))), narrow=True).df
-    return prints.select("row", "doc_id", F.coalesce("node", F.lit(0)).alias("node")), similar_classes(docs.select("row", "text"), classes, words, tables=tables, **how)
+    stand = worded.groupBy("node").agg(F.min("row").alias("row")).select("row")
+    classes = Table(worded.join(stand, "row", "left_semi").select("node", "row", "n", *(f"fp{i}" for i in range(tables)), "prefix", "least")).df
+    return prints.select("row", "doc_id", F.coalesce("node", F.lit(0)).alias("node")), similar_classes(docs.select("row", "text"), classes, words, tables=tables, similarity=similarity, **how)
 
 
 def bare(docs: DataFrame) -> DataFrame:
@@ -524,20 +630,22 @@ def bare(docs: DataFrame) -> DataFrame:
 
 
 def similar_texts(
-    docs: DataFrame, words: int = 5, radius: int = 12, both: int = 30, similarity: float = 0.8, tables: int = 4, sample: int = 8192, block_rows: int = 2048, unit_rows: int = 256, unit_hashes: int = 100_000
+    docs: DataFrame, words: int = 5, radius: int = 24, both: int = 40, similarity: float = 0.8, tables: int = 2, sample: int = 8192, block_rows: int = 512, unit_rows: int = 256, unit_hashes: int = 100_000
 ) -> DataFrame:
     """doc_id, set_id and component_id of each row of docs(doc_id, text).
 
     Two rows link if the Jaccard similarity of their sets of `words`-word shingles is `similarity` or more, decided on
-    the whole sets. Candidates are pairs of which one of `tables` independent fingerprints of these sets differs in
-    `radius` bits at most, and with the next one in `both` at most: of pairs at 0.8 itself fewer than 1 in 1,000 are
-    missed. Rows of equal sets are one class; component_id is the smallest doc_id reachable, itself included.
+    the whole sets. Candidates are pairs of which a fingerprint of these sets differs in `radius` bits at most, and with
+    a second, independent one (tables = 2; further ones are not used) in `both` at most: of pairs at 0.8 itself fewer
+    than 1 in 1,000 differ in more. Fingerprints are compared where two sets share a shingle of their prefixes, which
+    loses no pair that similar. Rows of equal sets are one class; component_id is the smallest doc_id reachable, itself
+    included. `sample` rows tell which shingles are frequent; any answer gives the same links.
 
-    Each class is first held against its nearest neighbours that share a whole partition of the fingerprint, so that
+    Each class is first held against its neighbours among those that share one of its three smallest hashes, so that
     large groups become one. Classes that candidates connect with others not yet in their component form a family; its
     members' sets meet in units, pairs of blocks of about `unit_rows` members (`unit_hashes` hashes), in which all pairs
     of different components are decided. A family with few candidates for its size goes pair by pair instead. No
-    candidate is left out either way.
+    candidate is left out either way. `block_rows` rows of a long run are compared with as many at a time.
 
     A null text counts as empty; texts without words are one class, which links with no other. Rows that share a doc_id
     but not the text are linked only if their texts are. A row without doc_id stays, and does not lend its id; where no
@@ -550,7 +658,7 @@ def similar_texts(
 
 
 def without_near_copies(
-    docs: DataFrame, words: int = 5, radius: int = 12, both: int = 30, similarity: float = 0.8, tables: int = 4, sample: int = 8192, block_rows: int = 2048, unit_rows: int = 256, unit_hashes: int = 100_000
+    docs: DataFrame, words: int = 5, radius: int = 24, both: int = 40, similarity: float = 0.8, tables: int = 2, sample: int = 8192, block_rows: int = 512, unit_rows: int = 256, unit_hashes: int = 100_000
 ) -> DataFrame:
     """One row of each group of near copies (see similar_texts), as it stands: the one with the smallest doc_id.
 

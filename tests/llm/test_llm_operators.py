@@ -202,6 +202,29 @@ def test_similar_texts_lose_no_link(spark, tables, unit_rows):
     assert simhash_dedup.similar_texts(df.limit(0)).count() == 0
 
 
+def test_prefixes_meet_and_grow_with_the_input(spark):
+    """Any two sets that are similar enough share a prefix hash; of n unlike texts none takes more rows than its prefix."""
+    rng = np.random.default_rng(3)
+    known = np.unique(rng.integers(0, 400, 60))
+    counts = rng.integers(1, 50, len(known))
+    close = 0
+    for _ in range(3000):
+        x = np.unique(rng.integers(0, 400, rng.integers(1, 40)))
+        y = np.unique(np.concatenate([rng.choice(x, rng.integers(max(1, len(x) - 4), len(x) + 1), replace=False), rng.integers(0, 400, rng.integers(0, 4))]))
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            close += 1
+            assert np.isin(simhash_dedup.prefix(x, 0.8, known, counts), simhash_dedup.prefix(y, 0.8, known, counts)).any()
+    assert close > 500
+    assert len(simhash_dedup.prefix(np.arange(100), 0.8, known, counts)) == 21 and not len(simhash_dedup.prefix(np.arange(0), 0.8, known, counts))
+    root = np.array([1] * 700 + [2] * 3 + [3] * 600 + [9, 8, 7])
+    parts = [p for x, y in simhash_dedup.pairs_of_runs(root, np.array([0, 1303]), False, 64) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert sorted(parts) == [(i, j) for i, j in combinations(range(1303), 2) if root[i] != root[j]] + [(1303, 1304), (1303, 1305), (1304, 1305)]
+    one = [(i, 0, 5, i, i, [1, 2]) for i in range(5000)]  # a hash that all share takes a row for each text, not a block pair
+    df = spark.createDataFrame(one, "node long, root long, n long, fp long, more long, prefix array<long>")
+    assert simhash_dedup.meetings(df, "prefix", "root", "node").count() == 10_000
+    assert simhash_dedup.met(simhash_dedup.meetings(df, "prefix", "root", "node"), 24, 40, 0.8, "stars").count() == 0
+
+
 def test_units_hold_each_pair_of_components_once(spark):
     members = [(i, 0 if i < 40 else 1 if i < 60 else i, i // 200, 10) for i in range(300)]
     dealt, units = simhash_dedup.in_blocks(spark.createDataFrame(members, "node long, root long, family long, n long"), 16, 1000)
