@@ -194,26 +194,79 @@ def kmeans(rows: DataFrame, vec: str, k: int, rounds: int = 10, seed: int = 7) -
 def agglomerate(rows: DataFrame, group: str, key: str, vec: str, levels: Sequence[int]) -> DataFrame:
     """key and cut_k for each k: average linkage by cosine distance within a group, cut into k clusters; coarser cuts nest finer ones.
 
-    Quadratic in a group, so for catalogues; clusters are named by their smallest key.
+    Clusters are named by their smallest key. A group is one task's work: it holds its vectors, not their distances, and
+    compares different vectors only, but their number enters squared.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(key, kind="stable")
         x = np.array(f[vec].tolist(), float)
         x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-        d, n = 1 - x @ x.T, len(x)
-        np.fill_diagonal(d, np.inf)
-        size, own, cuts = np.ones(n), np.arange(n), {}
-        for left in range(n, 0, -1):
-            if left in levels:
-                cuts[left] = own.copy()
-            if left > 1:
-                i, j = sorted(np.unravel_index(np.argmin(np.round(d, 12)), d.shape))
-                d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-                d[i, i] = d[j] = d[:, j] = np.inf
-                size[i] += size[j]
-                own[own == j] = i
-        keys = f[key].to_numpy()
-        return pd.DataFrame({key: keys} | {f"cut_{k}": keys[cuts[min(k, n)]] for k in levels})
+        keys, owners = f[key].to_numpy(), average_linkage(x, levels)
+        return pd.DataFrame({key: keys} | {f"cut_{k}": keys[owners[k]] for k in levels})
 
     return rows.groupBy(group).applyInPandas(run, f"{key} long" + "".join(f", cut_{k} long" for k in levels))
+
+
+def average_linkage(x: np.ndarray, levels: Sequence[int], block: int = 256) -> dict[int, np.ndarray]:
+    """For each level the first row of each row's cluster. x: unit or zero vectors; ties (12 digits) go to the first rows.
+
+    The mean distance of two clusters is 1 less the product of their mean vectors, so sums of vectors stand for the
+    matrix. Each cluster knows its nearest later one; only those whose nearest was merged look again.
+    """
+    n = len(x)
+    merges: list[tuple[int, int]] = []
+    _, first, of = np.unique(x + 0.0, axis=0, return_index=True, return_inverse=True)
+    of = first[of.reshape(-1)]
+    zero = ~x.any(1)  # zero vectors are at distance 1 of all, each other included
+    of[zero] = np.flatnonzero(zero)
+    copies = np.flatnonzero(of != np.arange(n))
+    same = list(zip(of[copies].tolist(), copies.tolist(), strict=True))
+    alone = np.flatnonzero(of == np.arange(n))
+    m, size = len(alone), np.bincount(of, minlength=n)[alone].astype(float)
+    mean, live = x[alone].copy(), np.ones(len(alone), bool)
+    best, arg = np.full(m, np.inf), np.full(m, -1)
+
+    def look(rows: np.ndarray) -> None:
+        for s in range(0, len(rows), block):
+            r = rows[s : s + block]
+            lo = int(r.min())
+            d = np.round(1 - mean[r] @ mean[lo:].T, 12)
+            d[:, ~live[lo:]] = np.inf
+            d[np.arange(lo, m)[None] <= r[:, None]] = np.inf
+            arg[r] = d.argmin(1) + lo
+            best[r] = d[np.arange(len(r)), arg[r] - lo]
+
+    look(np.arange(m))
+    for _ in range(m - 1):
+        i = int(best.argmin())
+        j = int(arg[i])
+        merges.append((float(best[i]), int(alone[i]), int(alone[j])))
+        mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        live[j], best[j] = False, np.inf
+        again = np.flatnonzero(live & ((arg == i) | (arg == j)))
+        look(np.union1d(again, [i]))
+        d = np.round(1 - mean[:i] @ mean[i], 12)
+        nearer = live[:i] & ((d < best[:i]) | ((d == best[:i]) & (i < arg[:i])))
+        best[:i][nearer], arg[:i][nearer] = d[nearer], i
+    # copies merge at distance 0, in the order of rows, among other merges at 0; the rest keeps its order
+    at_zero = np.arange(n)
+    for i, j in [(i, j) for d, i, j in merges if d <= 0] + same:
+        at_zero[j] = i
+    at_zero = _roots(at_zero)
+    order = sorted((int(at_zero[j]), j) for j in np.flatnonzero(at_zero != np.arange(n)).tolist()) + [(i, j) for d, i, j in merges if d > 0]
+    own, cuts = np.arange(n), {}
+    for left, (i, j) in zip(range(n, 1, -1), order, strict=True):
+        if left in levels:
+            cuts[left] = _roots(own)
+        own[j] = i
+    cuts[1] = _roots(own)
+    return {k: cuts[min(k, n)] if min(k, n) in cuts else np.arange(n) for k in levels}
+
+
+def _roots(own: np.ndarray) -> np.ndarray:
+    own = own.copy()
+    while (own[own] != own).any():
+        own = own[own]
+    return own
