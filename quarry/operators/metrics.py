@@ -176,13 +176,26 @@ def bootstrap(rows: DataFrame, cluster: str, value: str, replicates: int, seed:
 def permutation_p(rows: DataFrame, x: str, y: str, replicates: int, seed: int = 0) -> DataFrame:
     """(1 + permutations whose covariance reaches the observed one) / (1 + replicates).
 
-    A replicate pairs x in its own order with y in the order of a hash.
+    A replicate pairs x in its own order with y in the order of a hash; it is one task's work, over all rows' x and y.
     """
+    import hashlib
+
+    import pandas as pd
+
     own = rows.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).withColumn("_i", F.row_number().over(W.orderBy("_x", "_y")))
-    many = own.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    turn = F.row_number().over(W.partitionBy("_r").orderBy(_draw(seed, F.col("_r"), F.col("_i")), "_i"))
-    shuffled = many.select(F.col("_r").alias("_s"), F.when(F.col("_r") == 0, F.col("_i")).otherwise(turn).alias("_j"), F.col("_y").alias("_z"))
-    stat = many.join(shuffled, (F.col("_r") == F.col("_s")) & (F.col("_i") == F.col("_j"))).groupBy(F.col("_r").alias("r")).agg(F.sum(F.col("_x") * F.col("_z")).alias("s"))
+    given = own.select("_i", "_x", "_y", F.col("_x").isNotNull().alias("_kx"), F.col("_y").isNotNull().alias("_ky"))
+    many = given.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        f, r = frame.sort_values("_i"), int(frame["_r"].iloc[0])
+        turn = np.arange(len(f))
+        if r:  # as _draw
+            turn = np.argsort([int(hashlib.md5(b"%d|%d|%d" % (seed, r, i)).hexdigest()[:7], 16) for i in f["_i"].tolist()], kind="stable")
+        known = f["_kx"].to_numpy() & f["_ky"].to_numpy()[turn]
+        s = float((f["_x"].to_numpy()[known] * f["_y"].to_numpy()[turn][known]).sum()) if known.any() else None
+        return pd.DataFrame({"r": [r], "s": pd.array([s], "Float64")})
+
+    stat = many.groupBy("_r").applyInPandas(one, "r long, s double")
     seen = F.max(F.when(F.col("r") == 0, F.col("s"))).over(W.partitionBy())
     return stat.withColumn("_o", seen).where("r > 0").agg(((F.count_if(F.col("s") >= F.col("_o") - 1e-9) + 1) / (F.count("*") + 1)).alias("p"))
 
