@@ -135,3 +135,43 @@ def nearest_by_cosine(rows: DataFrame, key: str, vec: str, k: int, block: int =
     found = dealt.groupBy("_g", "a", "b").applyInPandas(best, "k long, neighbour long, similarity double")
     rank = F.row_number().over(W.partitionBy("k").orderBy(F.round("similarity", 9).desc(), "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("k", key)
+
+
+def cosine_distances(rows: DataFrame, key: str, vec: str, group: str, block: int = 1024) -> DataFrame:
+    """a < b (keys) and distance (1 - cosine, both rounded to 6 digits) of all pairs of rows of equal groups.
+
+    Rows of a group are dealt to blocks by a hash; each pair of blocks is one task's matrix product. Null where a vector
+    or a component is null, a vector has no length, or the two have unlike sizes.
+    """
+    import numpy as np
+    import pandas as pd
+
+    given = rows.where(F.col(key).isNotNull() & F.col(group).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(group).alias("g"), F.when(F.forall(vec, lambda x: x.isNotNull()), F.col(vec)).alias("v"))
+    sizes = given.groupBy(F.col("g").alias("_g")).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    own = given.join(sizes, F.col("g") == F.col("_g")).withColumn("own", F.pmod(F.xxhash64("k"), F.col("n")).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least("own", i).alias("i"), F.greatest("own", i).alias("j")))
+    dealt = own.withColumn("p", F.explode(other)).select("k", "g", "v", "own", "p.i", "p.j")
+
+    def six(x: np.ndarray) -> np.ndarray:
+        return np.copysign(np.floor(np.abs(x) * 1e6 + 0.5) / 1e6, x)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        vectors = [None if v is None else np.asarray(v, float) for v in frame["v"]]
+        size = np.array([-1 if v is None else len(v) for v in vectors])
+        x = np.zeros((len(vectors), max(1, int(size.max()))))
+        for i, v in enumerate(vectors):
+            if v is not None:
+                x[i, : len(v)] = v
+        norm, keys, part = np.sqrt((x * x).sum(1)), frame["k"].to_numpy(), frame["own"].to_numpy()
+        one, two = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        l, r = np.flatnonzero(part == one), np.flatnonzero(part == two)
+        with np.errstate(all="ignore"):
+            product = norm[l][:, None] * norm[r][None]
+            distance = six(1 - six((x[l] @ x[r].T) / product))
+        known = (product != 0) & (size[l][:, None] == size[r][None]) & (size[l][:, None] >= 0)
+        a, b = np.broadcast_to(keys[l][:, None], known.shape), np.broadcast_to(keys[r][None], known.shape)
+        take = a < b if one == two else a != b
+        a, b = a[take], b[take]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": pd.arrays.FloatingArray(distance[take], ~known[take])})
+
+    return dealt.groupBy("g", "i", "j").applyInPandas(run, "a long, b long, distance double")

@@ -166,9 +166,7 @@ WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(1 - {COS}, 6) AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id""")
 def distance_matrix(spark, d):
     """Distances within each label: the matrix is the result, so it is as large as the squares of the labels' counts."""
-    v = table(spark, d, "embeddings")
-    a, b = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), "label"), v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), "label")
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(1 - F.round(V.cosine(F.col("ea"), F.col("eb")), 6), 6).alias("distance"))
+    return joins.cosine_distances(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
 
 @query("knn_graph", f"""

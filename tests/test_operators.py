@@ -1,5 +1,6 @@
 """Literal vectors, invariants over random inputs, and numeric kernels."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -186,6 +187,62 @@ def test_line_links_connect_what_pairs_connect(spark):
     assert joins.line_links(spark.range(20_000).select(F.col("id").alias("k"), F.lit(1.5).alias("x")), "k", "x", 9.0).count() == 19_999
 
 
+def matrix_linkage(x, levels):
+    d, n = 1 - x @ x.T, len(x)
+    np.fill_diagonal(d, np.inf)
+    size, own, cuts = np.ones(n), np.arange(n), {}
+    for left in range(n, 0, -1):
+        if left in levels:
+            cuts[left] = own.copy()
+        if left > 1:
+            i, j = sorted(np.unravel_index(np.argmin(np.round(d, 12)), d.shape))
+            d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            d[i, i] = d[j] = d[:, j] = np.inf
+            size[i] += size[j]
+            own[own == j] = i
+    return {k: cuts[min(k, n)] for k in levels if min(k, n) in cuts}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_average_linkage_is_the_matrix_rule(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(rng.integers(2, 60), 8))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    x = x[rng.integers(0, len(x), 90)] if seed % 2 else x  # copies
+    if seed == 3:
+        x[[4, 9]] = 0
+    levels = [1, 2, 3, 5, 10, 40, 70, 85]
+    got = cluster.average_linkage(x, levels)
+    for k, owners in matrix_linkage(x, levels).items():
+        assert got[k].tolist() == owners.tolist(), k
+
+
+def test_average_linkage_of_many_copies():
+    """20,000 rows whose matrix would take 3.2 GB."""
+    x = np.eye(40)[np.random.default_rng(1).integers(0, 40, 20_000)] + 0.1
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    assert [len(np.unique(o)) for o in cluster.average_linkage(x, [2, 5, 40]).values()] == [2, 5, 40]
+
+
+def test_cosine_distances_of_odd_vectors(spark):
+    rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.0, 2.0]), (3, 0, [1.0, 1.0]), (4, 0, [0.0, 0.0]), (5, 0, None), (6, 0, [1.0, None]), (7, 0, [1.0, 0.0, 0.0]), (8, 1, [1.0, 0.0]), (9, None, [1.0, 0.0]), (10, None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "k long, g int, v array<float>")
+    for block in (1024, 2):
+        got = {(r["a"], r["b"]): r["distance"] for r in joins.cosine_distances(df, "k", "v", "g", block).collect()}
+        assert set(got) == {(a, b) for a in range(1, 8) for b in range(a + 1, 8)}
+        assert {p: x for p, x in got.items() if x is not None} == {(1, 2): 1.0, (1, 3): 0.292893, (2, 3): 0.292893}
+
+
+def test_permutations_meet_without_broadcast(spark):
+    df = spark.range(50).select(F.when(F.col("id") != 9, F.col("id")).alias("x"), (F.col("id") * 7 % 11).alias("y"))
+    p = metrics.permutation_p(df, "x", "y", 20)
+    assert "Join" not in p._jdf.queryExecution().executedPlan().toString()
+    own = sorted((-1 if i == 9 else i, i * 7 % 11) for i in range(50))
+    turns = [sorted(range(50), key=lambda k, r=r: (int(hashlib.md5(f"0|{r}|{k + 1}".encode()).hexdigest()[:7], 16), k)) for r in range(1, 21)]
+    s = [sum(own[k][0] * own[t][1] for k, t in enumerate(turn) if own[k][0] >= 0) for turn in [range(50), *turns]]
+    assert p.first()[0] == pytest.approx((sum(v >= s[0] for v in s[1:]) + 1) / 21)
+
+
 def test_components_and_hamming(spark):
     nodes = spark.range(60).select(F.col("id").alias("k"))
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(40, 50)], "a long, b long")
