@@ -224,6 +224,15 @@ def test_average_linkage_of_many_copies():
     assert [len(np.unique(o)) for o in cluster.average_linkage(x, [2, 5, 40]).values()] == [2, 5, 40]
 
 
+def test_cuts_of_copies_nest(spark):
+    """Copies under other keys do not change the cuts, whose finer clusters lie within the coarser ones."""
+    v = np.random.default_rng(4).normal(size=(40, 6)).tolist()
+    df = spark.createDataFrame([(i + 1000 * c, 0, x) for c in range(50) for i, x in enumerate(v)], "k long, g int, v array<double>")
+    cuts = cluster.agglomerate(df, "g", "k", "v", [2, 5])
+    assert cuts.groupBy("cut_5").agg(F.countDistinct("cut_2").alias("n")).agg(F.max("n"), F.count("*")).first() == (1, 5)
+    assert cuts.withColumn("k", F.col("k") % 1000).distinct().count() == 40
+
+
 def test_cosine_distances_of_odd_vectors(spark):
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.0, 2.0]), (3, 0, [1.0, 1.0]), (4, 0, [0.0, 0.0]), (5, 0, None), (6, 0, [1.0, None]), (7, 0, [1.0, 0.0, 0.0]), (8, 1, [1.0, 0.0]), (9, None, [1.0, 0.0]), (10, None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "k long, g int, v array<float>")
