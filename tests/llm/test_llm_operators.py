@@ -645,6 +645,52 @@ def test_places_looked_up(spark):
     assert chosen == len(corpus) > 50
 
 
+def test_weights_and_topics_come_from_every_row(spark):
+    """Texts that no starting text resembles are learnt from, each id once; topics count each of their ids."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[i % 2] if i else 'z'}{n % 9}" for n in range(k, k + 50)) for i, k in enumerate(rng.integers(0, 9, 200))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])], "doc_id long, text string").repartition(3)
+    subwords = lm_score.Subwords(open(lm_score.RANKS_PATH, "rb").read())
+    seqs = subwords.of([lm_score.words_of(t.encode()) for t in [*texts, "", ""]])
+    counts, none = np.bincount(np.concatenate(seqs), minlength=subwords.size + 1).astype(float), np.zeros(0, np.int64)
+    cls, _ = lm_score.id_classes(counts, 8)
+    start = lm_score.fit(seqs, cls, lm_score.class_after(cls, counts, none, none, none, counts), steps=0)
+    net, n = lm_score.trained(df, start, subwords, rows=4, rate=0.01)
+    assert n == sum(map(len, seqs))
+    assert np.mean(net.logs(seqs, subwords.size)) > np.mean(start.logs(seqs, subwords.size)) + 0.2
+    assert lm_score.trained(df.limit(0), start, subwords) == (start, 0)
+    topics = lm_score.Topics.of(seqs, subwords.size + 1)
+    want = Counter({(t, i): n for (t, i), n in np.ndenumerate(topics.counts(seqs)) if n})
+    got = lm_score.corpus_counts(df, subwords, topics).where("word is null and ctx is null").collect()
+    assert {(r["nxt"] >> 32, r["nxt"] & 0xFFFFFFFF): r["n"] for r in got} == dict(want)
+    assert sum(want.values()) == n
+
+
+def test_gradients_by_differences():
+    rng = np.random.default_rng(6)
+    seqs = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 7, 23)]
+    net, _ = small_net(seqs, 10, steps=20, context=3, stride=4, width=6)
+    net.params, net.after = {k: x.astype(float) for k, x in net.params.items()}, net.after.astype(float)
+    inputs, targets, _ = net.windows(seqs, 9)
+
+    def loss():
+        z = net.forward(inputs, keep=True)[-1]
+        own = np.take_along_axis(z, net.of_class[np.maximum(targets, 0)][..., None], 2)[..., 0] - np.log(np.exp(z).sum(2))
+        return -own[targets >= 0].mean()
+
+    ids, grad = lm_score.Step(net).gradients(inputs, targets)
+    for name, at in (("q", (1, 2)), ("kv", (3, 4)), ("kv", (2, 9)), ("mix", (0, 5)), ("out", (4, 1)), ("bias", (3,)), ("place", (4, 2)), ("embed", (int(ids[2]), 3))):
+        x, eps = net.params[name], 1e-5
+        was = x[at]
+        x[at] = was + eps
+        up = loss()
+        x[at] = was - eps
+        down = loss()
+        x[at] = was
+        g = grad[name][(2, 3) if name == "embed" else at]
+        assert abs((up - down) / (2 * eps) - g) < 1e-4 + 1e-3 * abs(g), name
+
+
 def test_words_are_parted_alike_together_and_alone():
     subwords = lm_score.Subwords(open(lm_score.RANKS_PATH, "rb").read())
     words = [w.encode() for w in [*EN, *FR, "_x", "a_b", "don't", "1,234.5", "😀é", "日本", "--", "x" * 50, "__"]]
