@@ -194,54 +194,88 @@ def kmeans(rows: DataFrame, vec: str, k: int, rounds: int = 10, seed: int = 7) -
 def agglomerate(rows: DataFrame, group: str, key: str, vec: str, levels: Sequence[int]) -> DataFrame:
     """key and cut_k for each k: average linkage by cosine distance within a group, cut into k clusters; coarser cuts nest finer ones.
 
-    Clusters are named by their smallest key. A group is one task's work: it holds its vectors, not their distances, and
-    compares different vectors only, but their number enters squared.
+    Clusters are named by their smallest key. A group is one task's work: it holds its vectors, as they come, and of
+    different ones the unit vectors, not their distances; the number of different vectors enters squared.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values(key, kind="stable")
-        x = np.array(f[vec].tolist(), float)
+    def run(table: pa.Table) -> pa.Table:
+        keys = table.column(key).to_numpy()
+        order = np.argsort(keys, kind="stable")
+        keys, x = keys[order], _rows_of(table.column(vec))[order]
+        del table
+        of, first = _same_rows(x)
+        x = x[first].astype(float)
         x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-        keys, owners = f[key].to_numpy(), average_linkage(x, levels)
-        return pd.DataFrame({key: keys} | {f"cut_{k}": keys[owners[k]] for k in levels})
+        owners = average_linkage(x, levels, copies=(first, of))
+        return pa.table({key: pa.array(keys, pa.int64())} | {f"cut_{k}": pa.array(keys[owners[k]], pa.int64()) for k in levels})
+
+    return rows.select(group, key, vec).groupBy(group).applyInArrow(run, f"{key} long" + "".join(f", cut_{k} long" for k in levels))
+
 
-    return rows.groupBy(group).applyInPandas(run, f"{key} long" + "".join(f", cut_{k} long" for k in levels))
+def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix of their own type; null entries are NaN."""
+    sizes = {*column.combine_chunks().value_lengths().to_pylist()} if len(column) else {0}
+    if len(sizes) != 1 or None in sizes:
+        raise ValueError("vectors are null or differ in length")
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+    return np.concatenate(parts).reshape(len(column), sizes.pop())
 
 
-def average_linkage(x: np.ndarray, levels: Sequence[int], block: int = 256) -> dict[int, np.ndarray]:
+def _same_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its vector, and the first row of each vector, in order of first rows."""
+    x = np.ascontiguousarray(x + x.dtype.type(0))  # no -0
+    if not x.shape[1]:
+        return np.zeros(len(x), np.int64), np.arange(min(1, len(x)))
+    bits = x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).reshape(-1)
+    _, first, of = np.unique(bits, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[of.reshape(-1)], first[order]
+
+
+def average_linkage(x: np.ndarray, levels: Sequence[int], entries: int = 1 << 19, copies: tuple[np.ndarray, np.ndarray] | None = None) -> dict[int, np.ndarray]:
     """For each level the first row of each row's cluster. x: unit or zero vectors; ties (12 digits) go to the first rows.
 
     The mean distance of two clusters is 1 less the product of their mean vectors, so sums of vectors stand for the
-    matrix. Each cluster knows its nearest later one; only those whose nearest was merged look again.
+    matrix. Each cluster knows its nearest later one; only those whose nearest was merged look again, so many at a time
+    that no more than `entries` distances are held. copies: the first row of each vector and the vector of each row,
+    where x holds different vectors only.
     """
-    n = len(x)
-    merges: list[tuple[int, int]] = []
-    _, first, of = np.unique(x + 0.0, axis=0, return_index=True, return_inverse=True)
-    of = first[of.reshape(-1)]
+    if copies is None:
+        of, first = _same_rows(x)
+        x = x[first]
+    else:
+        first, of = copies
+    n = len(of)
     zero = ~x.any(1)  # zero vectors are at distance 1 of all, each other included
-    of[zero] = np.flatnonzero(zero)
-    copies = np.flatnonzero(of != np.arange(n))
-    same = list(zip(of[copies].tolist(), copies.tolist(), strict=True))
-    alone = np.flatnonzero(of == np.arange(n))
-    m, size = len(alone), np.bincount(of, minlength=n)[alone].astype(float)
-    mean, live = x[alone].copy(), np.ones(len(alone), bool)
+    own = first[of]
+    own[zero[of]] = np.flatnonzero(zero[of])
+    alone = np.flatnonzero(own == np.arange(n))
+    mean, size = x[of[alone]], np.bincount(own, minlength=n)[alone].astype(float)
+    m, live = len(alone), np.ones(len(alone), bool)
     best, arg = np.full(m, np.inf), np.full(m, -1)
+    merges = np.zeros((max(m - 1, 0), 2), np.int64)
+    at = np.zeros(len(merges))
 
     def look(rows: np.ndarray) -> None:
+        block = min(256, max(1, entries // max(m, 1)))
         for s in range(0, len(rows), block):
             r = rows[s : s + block]
             lo = int(r.min())
-            d = np.round(1 - mean[r] @ mean[lo:].T, 12)
+            d = mean[r] @ mean[lo:].T
+            np.subtract(1, d, out=d)
+            np.round(d, 12, out=d)
             d[:, ~live[lo:]] = np.inf
             d[np.arange(lo, m)[None] <= r[:, None]] = np.inf
             arg[r] = d.argmin(1) + lo
             best[r] = d[np.arange(len(r)), arg[r] - lo]
 
     look(np.arange(m))
-    for _ in range(m - 1):
+    for step in range(m - 1):
         i = int(best.argmin())
         j = int(arg[i])
-        merges.append((float(best[i]), int(alone[i]), int(alone[j])))
+        at[step], merges[step] = best[i], (alone[i], alone[j])
         mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
         size[i] += size[j]
         live[j], best[j] = False, np.inf
@@ -251,18 +285,19 @@ def average_linkage(x: np.ndarray, levels: Sequence[int], block: int = 256) -> d
         nearer = live[:i] & ((d < best[:i]) | ((d == best[:i]) & (i < arg[:i])))
         best[:i][nearer], arg[:i][nearer] = d[nearer], i
     # copies merge at distance 0, in the order of rows, among other merges at 0; the rest keeps its order
-    at_zero = np.arange(n)
-    for i, j in [(i, j) for d, i, j in merges if d <= 0] + same:
-        at_zero[j] = i
+    at_zero = own
+    at_zero[merges[at <= 0, 1]] = merges[at <= 0, 0]
     at_zero = _roots(at_zero)
-    order = sorted((int(at_zero[j]), j) for j in np.flatnonzero(at_zero != np.arange(n)).tolist()) + [(i, j) for d, i, j in merges if d > 0]
-    own, cuts = np.arange(n), {}
-    for left, (i, j) in zip(range(n, 1, -1), order, strict=True):
-        if left in levels:
-            cuts[left] = _roots(own)
-        own[j] = i
-    cuts[1] = _roots(own)
-    return {k: cuts[min(k, n)] if min(k, n) in cuts else np.arange(n) for k in levels}
+    moved = np.flatnonzero(at_zero != np.arange(n))
+    moved = moved[np.argsort(at_zero[moved], kind="stable")]
+    into, moved = np.concatenate([at_zero[moved], merges[at > 0, 0]]), np.concatenate([moved, merges[at > 0, 1]])
+    cuts = {}
+    for k in levels:
+        owner = np.arange(n)
+        left = max(n - max(k, 1), 0)
+        owner[moved[:left]] = into[:left]
+        cuts[k] = _roots(owner)
+    return cuts
 
 
 def _roots(own: np.ndarray) -> np.ndarray:

@@ -233,6 +233,22 @@ def test_cuts_of_copies_nest(spark):
     assert cuts.withColumn("k", F.col("k") % 1000).distinct().count() == 40
 
 
+def test_linkage_holds_few_distances():
+    """Memory stays within a few MB beside the vectors, whether they differ or are copies."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=(6000, 4)), np.tile(rng.normal(size=(40, 8)), (2000, 1))):
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        tracemalloc.start()
+        try:
+            cuts = cluster.average_linkage(x, [2, 5])
+            assert tracemalloc.get_traced_memory()[1] < 20_000_000
+        finally:
+            tracemalloc.stop()
+        assert [len(np.unique(o)) for o in cuts.values()] == [2, 5]
+
+
 def test_cosine_distances_of_odd_vectors(spark):
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.0, 2.0]), (3, 0, [1.0, 1.0]), (4, 0, [0.0, 0.0]), (5, 0, None), (6, 0, [1.0, None]), (7, 0, [1.0, 0.0, 0.0]), (8, 1, [1.0, 0.0]), (9, None, [1.0, 0.0]), (10, None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "k long, g int, v array<float>")
