@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -703,3 +704,42 @@ def test_words_are_parted_alike_together_and_alone():
     assert together(words) == alone
     odd = [*words, "a\u00a0".encode(), "\u2003b".encode()]
     assert together(odd)[: len(words)] == alone and not len(subwords.encode([])[0])
+
+
+def test_words_of_a_column_are_those_of_each_text():
+    texts = ["", None, "  A b\t\x0bC ", "b b", "É x\x85y\xa0z\u2003w a\x1cb", " ", "q\r\n", "İ ß"]
+    column = pa.array(["before", *texts, "after"]).slice(1, len(texts))
+    words, which, sizes = lm_score.words_in(column)
+    want = [[*lm_score.words_of((t or "").encode()), lm_score.END] for t in texts]
+    assert [[words[i] for i in part] for part in np.split(which, np.cumsum(sizes)[:-1])] == want
+    assert words[0] == lm_score.END and len(set(words)) == len(words) and sizes.dtype == np.int64
+    for most in (1, 4, 1000):
+        assert [t for run in lm_score.runs_of(column, most) for t in run.to_pylist()] == texts
+    subwords = lm_score.Subwords(open(lm_score.RANKS_PATH, "rb").read())
+    ids = [s.tolist() for s in subwords.ids(*subwords.coded(column))]
+    assert ids == [s.tolist() for s in subwords.of([w[:-1] for w in want])] and ids[0] == [subwords.size]
+    assert subwords.of([]) == [] and len(lm_score.words_in(column.slice(0, 0))[1]) == 0
+
+
+def test_step_over_any_number_of_windows():
+    """Windows learnt in blocks of 16 give what fewer give: gradients add up by the targets they are of; and beyond limits nothing overflows."""
+    rng = np.random.default_rng(7)
+    seqs = [rng.integers(0, 9, n).astype(np.int32) for n in (5, 60, 1, 130, 64)]
+    net, _ = small_net(seqs, 10, steps=20, context=3, stride=4, width=6)
+    net.params, net.after = {k: x.astype(float) for k, x in net.params.items()}, net.after.astype(float)
+    inputs, targets, _ = (x[:64] for x in net.windows(seqs, 9))
+
+    def total(parts):
+        out = {k: np.zeros(x.shape) for k, x in net.params.items()}
+        for part in parts:
+            ids, grad = lm_score.Step(net).gradients(inputs[part], targets[part])
+            n = (targets[part] >= 0).sum()
+            for k, g in grad.items():
+                out[k][ids if k == "embed" else slice(None)] += g * n
+        return out
+
+    one, some = total([slice(0, 64)]), total([slice(0, 32), slice(32, 35), slice(35, 64)])
+    assert all(np.allclose(one[k], some[k], atol=1e-9) for k in one)
+    net.params["out"] *= 1e4
+    net._tables = None
+    assert np.isfinite(net.logs(seqs, 9)).all() and np.abs(net.forward(inputs)).max() <= 40
